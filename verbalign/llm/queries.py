@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op6_exact_dedup
+from .hyperdim import op8_language_id
+from .packing import op3_packing
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_language_id": op8_language_id,
 }
 ORACLE_SQL = {"op6_exact_dedup": EXACT_DEDUP_SQL}
