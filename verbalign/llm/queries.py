@@ -5,10 +5,12 @@ from __future__ import annotations
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op6_exact_dedup
 from .hyperdim import op8_language_id
+from .materialise import op4_training_order
 from .packing import op3_packing
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_training_order": op4_training_order,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_language_id": op8_language_id,
 }
