@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontamination
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op6_exact_dedup
 from .hyperdim import op8_language_id
@@ -13,5 +14,6 @@ QUERIES = {
     "op4_training_order": op4_training_order,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_language_id": op8_language_id,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL = {"op6_exact_dedup": EXACT_DEDUP_SQL}
