@@ -8,11 +8,13 @@ from .exact_dedup import op6_exact_dedup
 from .hyperdim import op8_language_id
 from .materialise import op4_training_order
 from .packing import op3_packing
+from .pseudonyms import op7_pseudonyms
 
 QUERIES = {
     "op3_packing": op3_packing,
     "op4_training_order": op4_training_order,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_pseudonyms": op7_pseudonyms,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
 }
