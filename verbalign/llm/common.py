@@ -7,6 +7,7 @@ re-read and never a lost result.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,7 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let the cleaner drop shuffle files of jobs whose results are already in tables."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -9,6 +9,7 @@ from .hyperdim import op8_language_id
 from .materialise import op4_training_order
 from .packing import op3_packing
 from .pseudonyms import op7_pseudonyms
+from .recompression import op10_repeated_passages
 
 QUERIES = {
     "op3_packing": op3_packing,
@@ -17,5 +18,6 @@ QUERIES = {
     "op7_pseudonyms": op7_pseudonyms,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 ORACLE_SQL = {"op6_exact_dedup": EXACT_DEDUP_SQL}
