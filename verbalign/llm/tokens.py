@@ -1,15 +1,16 @@
 """Token ids of documents, by a public tokenizer file.
 
-Byte-level BPE never merges across its pre-tokenizer's pieces, so where every
-run of white space in a text is one space or one line feed, a text's ids are the
-concatenated ids of its words (each with the space before it) and line feeds.
-Words repeat, so they are encoded once per worker by the library and looked up
-after that. Any other text is encoded whole. Both give the library's own ids.
+The file of the ``tokenizers`` library is the parameter. Where it holds a plain
+byte-level BPE whose ids are in merge order, as the 50k file does, its
+vocabulary is handed to the faster BPE core of ``tiktoken``, which gives the same
+ids at a fifth of the time; any other file is run by its own library. Special
+tokens' strings in a text are ordinary text either way.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,9 +23,6 @@ from .common import materialise, text_of
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
-#: White space that the word-wise way doesn't handle: runs, other than space and line feed, at either end.
-ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$|[\x1c-\x1f\x85]")
-CACHE_WORDS = 400_000
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -33,54 +31,50 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
-class Encoder:
-    """Texts to arrays of ids, each ending in ``END_ID``."""
+def _byte_of_letter() -> dict[str, int]:
+    """Byte-level BPE writes bytes as letters: printable Latin-1 as itself, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
+
+
+def _fast_core(path: str):
+    """The file's vocabulary in tiktoken's core, or None if it is of another kind."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or model.get("dropout"):
+        return None
+    vocab, special = model["vocab"], {t["content"] for t in spec.get("added_tokens", [])}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if any(vocab[m] != 256 + i for i, m in enumerate(merges)):
+        return None
+    byte = _byte_of_letter()
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
 
-    def __init__(self, path: str):
-        import os
+class Encoder:
+    """Texts to arrays of ids (as bytes), each ending in ``END_ID``."""
 
+    def __init__(self, path: str, fast: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
         self.tk.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tk.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.end = self.dtype.type(END_ID).tobytes()
-        self.feed = self._raw(["\n"])[0]
-        self.inner: dict[str, bytes] = {}
-        self.start: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tk.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, cache: dict[str, bytes], words: set[str], space: str) -> None:
-        new = list(words - cache.keys())
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            cache.update(zip(part, self._raw([space + w for w in part])))
+        self.core = _fast_core(path) if fast else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        lines = [None if ODD_SPACE.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        inner: set[str] = set()
-        start: set[str] = set()
-        for doc in lines:
-            for words in doc or ():
-                start.add(words[0])
-                inner.update(words[1:])
-        self._learn(self.inner, inner, " ")
-        self._learn(self.start, start, "")
-        get, first, out = self.inner.__getitem__, self.start, []
-        for text, doc in zip(texts, lines):
-            if not text:
-                out.append(self.end)
-            elif doc is None:
-                out.append(self._raw([text])[0] + self.end)
-            else:
-                out.append(self.feed.join([first[w[0]] + b"".join(map(get, w[1:])) for w in doc]) + self.end)
-        return out
+        if self.core is not None:
+            ids = map(self.core.encode_ordinary, texts)
+        else:
+            ids = (e.ids for e in self.tk.encode_batch(texts, add_special_tokens=False))
+        return [np.array([*x, END_ID], self.dtype).tobytes() for x in ids]
 
 
 def tokenised(docs: DataFrame, path: str | None = None, batch: int = 400) -> DataFrame:
