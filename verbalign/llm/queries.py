@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .dartminhash import op5_near_duplicates
 from .decontaminate import op9_decontamination
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op6_exact_dedup
@@ -14,6 +15,7 @@ from .recompression import op10_repeated_passages
 QUERIES = {
     "op3_packing": op3_packing,
     "op4_training_order": op4_training_order,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pseudonyms": op7_pseudonyms,
     "op8_language_id": op8_language_id,
