@@ -201,5 +201,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return out.join(size, "class").select(named("doc").alias("doc_id"), named("class").alias("class_id"), "class_size", "n_links", (F.col("doc") == F.col("class")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, whole, that stay: of a class the smallest doc_id."""
+    stay = near_duplicates(docs, similarity).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

@@ -207,32 +207,60 @@ def search(index: Index, docs: list[list[bytes]], threshold: float = THRESHOLD,
                     yield int(d), index.ids[k], float(score), *shares, int(start)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """One row per document and leaked item."""
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The test items in blocks of about INDEX_CHARS characters."""
     items = benchmark.select("item_id", text_of().alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // INDEX_CHARS))
-    rows = docs.select("doc_id", text_of().alias("text"))
-    out = None
     for b in range(blocks):
-        part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()]
+        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()]
+
+
+def leaks_in(indexes: list[Index], texts: list[str], threshold: float, overlap: float) -> dict[tuple[int, int], list]:
+    """By row and item: the best passage's score, overlaps and first word."""
+    best: dict[tuple[int, int], list] = {}
+    for at in range(0, len(texts), 1000):
+        words = [words_of(t) for t in texts[at : at + 1000]]
+        for index in indexes:
+            for d, item, *rest in search(index, words, threshold, overlap):
+                if (at + d, item) not in best or rest[0] > best[at + d, item][0]:
+                    best[at + d, item] = rest
+    return best
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """One row per document and leaked item."""
+    rows, out = docs.select("doc_id", text_of().alias("text")), None
+    for part in item_blocks(benchmark):
 
         def run(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
             indexes = build(part)
             for b in batches:
-                ids = b.doc_id.to_numpy()
-                for at in range(0, len(b), 1000):
-                    words, best = [words_of(t) for t in b.text.iloc[at : at + 1000]], {}
-                    for index in indexes:
-                        for d, item, *rest in search(index, words, threshold, overlap):
-                            if (d, item) not in best or rest[0] > best[d, item][0]:
-                                best[d, item] = rest
-                    yield pd.DataFrame([(ids[at + d], item, *rest) for (d, item), rest in best.items()], columns=[x.split()[0] for x in LEAKS.split(", ")])
+                best, ids = leaks_in(indexes, list(b.text), threshold, overlap), b.doc_id.astype("Int64")
+                found = pd.DataFrame([(item, *rest) for (_, item), rest in best.items()], columns=[x.split()[0] for x in LEAKS.split(", ")][1:])
+                found.insert(0, "doc_id", ids.iloc[[d for d, _ in best]].reset_index(drop=True))
+                yield found
 
         found = rows.mapInPandas(run, LEAKS)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of ``docs``, whole, that hold no test item."""
+    for part in item_blocks(benchmark):
+
+        def keep(batches, part=part):
+            import pyarrow as pa
+
+            indexes = build(part)
+            for b in batches:
+                leaky = {d for d, _ in leaks_in(indexes, [t or "" for t in b.column("text").to_pylist()], threshold, overlap)}
+                yield b.filter(pa.array([i not in leaky for i in range(b.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -74,6 +74,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
 
 
+def first_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, whole, that stay: of equal texts the largest doc_id."""
+    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    keyed = docs.withColumn("__norm", F.sha2(fold_ascii(text_of()), 256))
+    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__norm") == F.col("__sha")), "left_semi")
+    return kept.drop("__norm")
+
+
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import documents
 

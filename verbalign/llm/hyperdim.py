@@ -168,5 +168,27 @@ def identify_languages(docs: DataFrame, modulus: int = 3, remainder: int = 1) ->
     return predict(d.select("doc_id", "text", "held_out"), langs, protos)
 
 
+def known_language(docs: DataFrame, modulus: int = 3, remainder: int = 1) -> DataFrame:
+    """The rows of ``docs``, whole, whose text has a language: all but ``und``."""
+    d = docs.select(F.coalesce("text", F.lit("")).alias("text"), "lang", held_out(remainder, modulus).alias("held_out"))
+    langs, _ = learned = learn(d.where("not held_out and lang is not null and text <> ''"))
+
+    def keep(batches):
+        import pyarrow as pa
+
+        profiler = Profiler(learned[1].shape[1])
+        for b in batches:
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            ok: list[bool] = []
+            for at in range(0, len(texts), 512):
+                x, lettered = profiler.profiles(texts[at : at + 512])
+                best = (unit(x) @ learned[1].T).argmax(1) if langs else []
+                names = [langs[k] for k in best] if langs else [UNKNOWN] * len(x)
+                ok += [has and name != UNKNOWN for has, name in zip(lettered.tolist(), names)]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir))
