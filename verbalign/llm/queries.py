@@ -6,6 +6,7 @@ from .dartminhash import op5_near_duplicates
 from .decontaminate import op9_decontamination
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op6_exact_dedup
+from .gru_lm import op1_lm_score
 from .hyperdim import op8_language_id
 from .materialise import op4_training_order
 from .packing import op3_packing
@@ -13,6 +14,7 @@ from .pseudonyms import op7_pseudonyms
 from .recompression import op10_repeated_passages
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op3_packing": op3_packing,
     "op4_training_order": op4_training_order,
     "op5_near_duplicates": op5_near_duplicates,
