@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, running_offsets, shared_dir
+from .common import documents, shared_dir
 from .tokens import id_type, tokenised, tokenizer_path
 
 LENGTH = 2048
@@ -33,7 +33,6 @@ PER_SHARD = 1024
 PAD = 0
 KEY = 20_24
 ROUNDS = 6
-BLOCK_ROWS = 20_000
 
 
 def mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -79,33 +78,44 @@ def write_training_order(docs: DataFrame, out_dir: str | None = None, key: int =
     spark, path = docs.sparkSession, tokenizer or tokenizer_path()
     out_dir, dtype = out_dir or shared_dir(spark), id_type(path)
     tokens = tokenised(docs, path)
-    rows, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # one number for each task that tokenised; a row's place follows from its own
+    base, total = {}, 0
+    for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        base[r.part], total = total, total + r.n
     count = -(-total // length)
-    light = tokens.select("row_id", "n", F.pmod(F.xxhash64("row_id"), F.lit(max(1, rows // BLOCK_ROWS))).alias("block"))
-    placed = running_offsets(light, [], "block", ["row_id"], "n", "at").select("row_id", "at")
     width = dtype.itemsize
 
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            out = []
-            for at, n, raw in zip(b["at"], b.n, b.ids):
-                done = 0
+            out: list[list] = []
+            for part, before, n, raw in zip(b.part, b.before, b.n, b.ids):
+                at, done = base[part] + before, 0
                 while done < n:
                     take = min(n - done, length - (at + done) % length)
-                    out.append(((at + done) // length, (at + done) % length, raw[done * width : (done + take) * width]))
+                    piece = raw[done * width : (done + take) * width]
+                    if out and out[-1][0] * length + out[-1][1] + len(out[-1][2]) // width == at + done and (at + done) % length:
+                        out[-1][2] += piece  # goes on where the row before ended
+                    else:
+                        out.append([(at + done) // length, (at + done) % length, bytearray(piece)])
                     done += take
-            part = pd.DataFrame(out, columns=["sequence_id", "offset", "ids"])
-            part.insert(0, "slot", permute(part.sequence_id.to_numpy(), count, key) if len(part) else [])
+            part = pd.DataFrame({"sequence_id": [x[0] for x in out], "offset": [x[1] for x in out], "ids": [pack(bytes(x[2])) for x in out]})
+            part.insert(0, "slot", permute(part.sequence_id.to_numpy(np.int64), count, key))
             part.insert(0, "shard", part.slot // per_shard)
             yield part
 
-    dealt = tokens.join(placed, "row_id").select("at", "n", "ids").mapInPandas(slices, "shard long, slot long, sequence_id long, offset long, ids binary")
+    dealt = tokens.select("part", "before", "n", "ids").mapInPandas(slices, "shard long, slot long, sequence_id long, offset long, ids binary")
     # a shard is a bounded range of slots: one task writes it front to back. Ranges are known, so nothing is sampled
     shards = max(1, -(-count // per_shard))
     parts = min(shards, 20_000)
     dealt = dealt.repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("shard", "slot", "offset")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         fs, root = file_system(out_dir)
         fs.create_dir(root, recursive=True)
         shard = slot = sequence = -1
@@ -134,7 +144,7 @@ def write_training_order(docs: DataFrame, out_dir: str | None = None, key: int =
                         temp = f"{root}/.{shard_name(to)}.{uuid.uuid4().hex}"
                         sink = fs.open_output_stream(temp)
                     shard, slot, sequence = to, s, q
-                buffer += ids
+                buffer += unpack(ids)
             if made:
                 yield pd.DataFrame(made, columns=MANIFEST)
                 made.clear()

@@ -78,26 +78,30 @@ class Encoder:
 
 
 def tokenised(docs: DataFrame, path: str | None = None, batch: int = 400) -> DataFrame:
-    """row_id, doc_id, source, n (ids with the end), ids (little-endian), as a table in the shared folder.
+    """row_id, part, before, doc_id, source, n (ids with the end), ids (little-endian): a table in the shared folder.
 
-    ``row_id`` tells apart rows that repeat a doc_id; it is fixed once the table is written.
+    ``row_id`` tells apart rows that repeat a doc_id; ``part`` is the task that
+    wrote the row and ``before`` the ids it wrote ahead of it. All are fixed once
+    the table is written, so a place in the whole stream needs only a sum per part.
     """
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder, at = Encoder(path), TaskContext.get().partitionId() << 33
+        part_id = TaskContext.get().partitionId()
+        encoder, at, total = Encoder(path), part_id << 33, 0
         for b in batches:
             for k in range(0, len(b), batch):
                 part = b.iloc[k : k + batch]
                 ids = encoder.encode(list(part.text))
-                yield pd.DataFrame({"row_id": np.arange(at, at + len(part)), "doc_id": part.doc_id.to_numpy(), "source": part.source.to_numpy(), "n": [len(x) // encoder.dtype.itemsize for x in ids], "ids": ids})
-                at += len(part)
+                n = np.array([len(x) // encoder.dtype.itemsize for x in ids], np.int64)
+                yield pd.DataFrame({"row_id": pd.Series(np.arange(at, at + len(part)), part.index), "part": part_id, "before": pd.Series(total + np.cumsum(n) - n, part.index), "doc_id": part.doc_id.astype("Int64"), "source": part.source, "n": pd.Series(n, part.index), "ids": pd.Series(ids, part.index)})
+                at, total = at + len(part), total + n.sum()
 
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", F.coalesce(source, F.lit("")).alias("source"), text_of().alias("text"))
-    return materialise(rows.mapInPandas(run, "row_id long, doc_id long, source string, n long, ids binary"))
+    return materialise(rows.mapInPandas(run, "row_id long, part long, before long, doc_id long, source string, n long, ids binary"))
 
 
 def id_type(path: str | None = None) -> np.dtype:
