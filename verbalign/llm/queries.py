@@ -10,11 +10,13 @@ from .gru_lm import op1_lm_score
 from .hyperdim import op8_language_id
 from .materialise import op4_training_order
 from .packing import op3_packing
+from .templates import op2_main_text
 from .pseudonyms import op7_pseudonyms
 from .recompression import op10_repeated_passages
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
+    "op2_main_text": op2_main_text,
     "op3_packing": op3_packing,
     "op4_training_order": op4_training_order,
     "op5_near_duplicates": op5_near_duplicates,
