@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,8 +38,10 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let the cleaner drop shuffle files of jobs whose results are already in tables."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_of(column: str = "text") -> Column:

@@ -10,11 +10,12 @@ earliest of each is the signature, so equal coordinates are as likely as the
 weighted Jaccard. A coordinate left empty doubles the rank bound.
 
 Bands of ``ROWS`` coordinates are joined. Documents of equal content are one
-node. In a bucket, each node is paired with the smallest one; pairs are verified
-by their exact shingle multisets, and verified links give components. Where a
-bucket still spans several components, the pairs across them that were not yet
-compared are compared as well, so no link of a bucket is lost, and a bucket of
-thousands of copies costs thousands of pairs, not millions.
+node. In a bucket, every node is paired with a centre; pairs are verified by
+their exact shingle multisets, and verified links give components. ``STARS``
+rounds pair what is outside a bucket's largest component with another of its
+nodes. Where a bucket still has several components, all pairs across them are
+compared, in blocks: by signature, then by multiset. So no link of a bucket is
+lost, and thousands of copies cost thousands of rows, not millions.
 
 Defined results: texts without a word (null, empty, punctuation) are classes of
 their own; rows that repeat a doc_id are one document; a null doc_id counts as
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialise, release, text_of
 from .components import components
-from .recompression import NULL_ID, U, Words, mix
-from .words import words_of
+from .recompression import NULL_ID
+from .words import U, mix, spaced, word_names
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -43,16 +44,20 @@ K = BANDS * ROWS
 DARTS = math.ceil(K * math.log(K) + 2 * K)
 #: Chance of at most 0, 1, 2, ... darts in a unit cell.
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(13)])
-BATCH_WORDS = 200_000
+BATCH_BYTES = 1_200_000
 FRACTION = 2.0**-53
+STARS = 2
+BLOCK = 1024
+#: Signatures of a pair at the similarity agree on this much less in fewer than 1 of 100,000 cases.
+SLACK = 0.15
+BROADCAST_IDS = 1_000_000  # 8 MB
 
 
-def units_of(known: Words, docs: list[list[bytes]], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def units_of(blobs: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Document and 64-bit name of every unit: a shingle and which of its occurrences it is."""
-    lengths = np.array([len(w) for w in docs], np.int64)
-    names = known.names([w for d in docs for w in d])
+    names, lengths = word_names(blobs)
     ends = np.cumsum(lengths)
-    doc = np.repeat(np.arange(len(docs)), lengths)
+    doc = np.repeat(np.arange(len(blobs)), lengths)
     at = np.arange(len(names))
     start = (ends - lengths)[doc]
     ok = (at + n <= ends[doc]) | (at == start)  # a short document is one shingle
@@ -99,12 +104,12 @@ def signatures(doc: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def groups_of(texts: list[str]) -> Iterator[tuple[int, int, list[list[bytes]]]]:
+def groups_of(texts: list[str]) -> Iterator[tuple[int, int, list[bytes]]]:
     at, part, size = 0, [], 0
     for i, t in enumerate(texts):
-        part.append(words_of(t))
-        size += len(part[-1]) + 200  # a short document throws as many darts as a longer one
-        if size >= BATCH_WORDS or i == len(texts) - 1:
+        part.append(spaced(t))
+        size += len(part[-1]) + 1200  # a short document throws as many darts as a longer one
+        if size >= BATCH_BYTES or i == len(texts) - 1:
             yield at, i + 1, part
             at, part, size = i + 1, [], 0
 
@@ -113,11 +118,10 @@ def sketches(rows: DataFrame) -> DataFrame:
     """doc, c1, c2 (128-bit name of the unit multiset), units (their number), bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Words()
         for f in batches:
             ids = f.doc.to_numpy()
-            for i, j, words in groups_of(list(f.text)):
-                doc, unit = units_of(known, words)
+            for i, j, blobs in groups_of(list(f.text)):
+                doc, unit = units_of(blobs)
                 n = j - i
                 sig = signatures(doc, unit, n)
                 band = np.zeros((n, BANDS), U)
@@ -135,70 +139,102 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc long, c1 long, c2 long, units long, bands array<long>")
 
 
-def unit_lists(rows: DataFrame) -> DataFrame:
-    """doc, list: the exact unit multiset of each row of (doc, text)."""
+def node_table(rows: DataFrame) -> DataFrame:
+    """doc, list (the exact unit multiset), sig (the signature) of each row of (doc, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Words()
         for f in batches:
             ids = f.doc.to_numpy()
-            for i, j, words in groups_of(list(f.text)):
-                doc, unit = units_of(known, words)
+            for i, j, blobs in groups_of(list(f.text)):
+                doc, unit = units_of(blobs)
+                sig = signatures(doc, unit, j - i).astype(np.uint32)
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
-                yield pd.DataFrame({"doc": ids[i:j], "list": [unit[cut[k] : cut[k + 1]].view(np.int64) for k in range(j - i)]})
+                yield pd.DataFrame({"doc": ids[i:j], "list": [unit[cut[k] : cut[k + 1]].view(np.int64) for k in range(j - i)], "sig": [x.tobytes() for x in sig]})
 
-    return rows.mapInPandas(run, "doc long, list array<long>")
+    return rows.mapInPandas(run, "doc long, list array<long>, sig binary")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """u, v, both: of the distinct pairs (u, v), those at or above the similarity. A table."""
-    nodes = pairs.select(F.col("u").alias("doc")).unionByName(pairs.select(F.col("v").alias("doc"))).distinct()
-    lists = materialise(unit_lists(rows.join(nodes, "doc", "left_semi").dropDuplicates(["doc"])))
-    left = lists.select(F.col("doc").alias("u"), F.col("list").alias("a"))
-    right = lists.select(F.col("doc").alias("v"), F.col("list").alias("b"))
+def verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (u, v), those at or above the similarity. A table."""
+    left = table.select(F.col("doc").alias("u"), F.col("list").alias("a"))
+    right = table.select(F.col("doc").alias("v"), F.col("list").alias("b"))
     # the many members bring their lists to the few centres, not the other way round
     both = pairs.join(left, "u").join(right, "v")
     both = both.select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"))
     return materialise(both.where(F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, class_size, n_links, kept: one row per document; the smallest doc_id of a class is kept.
+def block_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that join the components of a bucket, by comparing all pairs across them.
 
-    ``n_links``: verified links that the document's text has to different texts.
+    ``members``: key, node, comp, sig, list. A bucket is compared by blocks of
+    BLOCK nodes, two blocks in a task. Signatures rule most pairs out, the exact
+    multisets decide on the others, and only links between what is still apart
+    in the task leave it: fewer than there are nodes.
     """
+    low = similarity - SLACK
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    m = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "sig", "list")
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(f.sig), np.uint32).reshape(len(f), K)
+        node, block, lists = f.node.to_numpy(), f.block.to_numpy(), [np.sort(x) for x in f.list]
+        _, root = np.unique(f.comp.to_numpy(), return_inverse=True)
+        size = np.array([len(x) for x in lists])
+        apart, out = f.i.iloc[0] != f.j.iloc[0], []
+        for k in range(len(f)):
+            rest = np.flatnonzero((root[k + 1 :] != root[k]) & (~apart | (block[k + 1 :] != block[k]))) + k + 1
+            # sizes alone rule a pair out, too
+            rest = rest[np.minimum(size[rest], size[k]) >= similarity * np.maximum(size[rest], size[k])]
+            for o in rest[(sig[rest] == sig[k]).mean(1) >= low]:
+                if root[o] == root[k]:
+                    continue
+                both = len(np.intersect1d(lists[o], lists[k], assume_unique=True))
+                if both >= similarity * (size[o] + size[k] - both) - 1e-9:
+                    root[root == root[o]] = root[k]
+                    out.append((node[o], node[k]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return m.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, class_size, kept: one row per document; the smallest doc_id of a class is kept."""
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), text_of().alias("text"))
     sk = materialise(sketches(rows))
     nodes = sk.where("units > 0").groupBy("c1", "c2").agg(F.min("doc").alias("node"), F.any_value("bands").alias("bands"))
-    buckets = materialise(nodes.select("node", F.explode("bands").alias("key")).join(nodes.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1"), "key").select("key", "node"))
-    release(docs.sparkSession)
-    centres = buckets.groupBy("key").agg(F.min("node").alias("centre"))
-    pairs = materialise(buckets.join(centres, "key").where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct())
-    links = verified(pairs, rows, similarity)
-    comp = components(links)
-    # pairs across the components of a bucket, but those with its centre, which were compared
-    at = buckets.join(centres, "key").join(comp, "node", "left").select("key", "node", "centre", F.coalesce("comp", "node").alias("comp"))
-    sizes = at.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    open_at = materialise(at.where("node <> centre").join(main, "key").select("key", "node", "comp", "main"))
-    outer = open_at.where("comp <> main").select("key", F.col("node").alias("u"), F.col("comp").alias("cu"))
-    inner = open_at.select("key", F.col("node").alias("v"), F.col("comp").alias("cv"))
-    rest = outer.join(inner, "key").where("cu <> cv").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    rest = materialise(rest.join(pairs, ["u", "v"], "left_anti"))
-    if not rest.isEmpty():
-        more = verified(rest, rows, similarity)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comp = components(links)
+    every = nodes.select("node", F.explode("bands").alias("key"))
+    buckets = materialise(every.join(every.groupBy("key").count().where("count > 1").select("key"), "key").select("key", "node"))
+    own = materialise(buckets.select(F.col("node").alias("doc")).distinct())
+    few = own.count() <= BROADCAST_IDS
+    table = materialise(node_table(rows.join(F.broadcast(own) if few else own, "doc", "left_semi")).groupBy("doc").agg(F.any_value("list").alias("list"), F.any_value("sig").alias("sig")))
+    links = comp = None
+    for r in range(STARS):
+        at = buckets.withColumn("comp", F.col("node")) if comp is None else buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        # a star's centre is of the bucket's largest component, another one in each round
+        sizes = at.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min_by("node", F.struct(F.xxhash64("node", F.lit(r)) if r else F.lit(0), "node")).alias("centre"))
+        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max_by("centre", F.struct("n", -F.col("comp"))).alias("centre"), F.count("*").alias("comps")).where("comps > 1")
+        pairs = at.join(main, "key").where("comp <> main").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
+        found = verified(materialise(pairs), table, similarity)
+        links = found if links is None else links.unionByName(found)
+        if r and found.isEmpty():
+            break
+        comp = components(links)
+        release(docs.sparkSession)
+    at = buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    still = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
+    members = at.join(still.select("key"), "key").join(table.select(F.col("doc").alias("node"), "sig", "list"), "node")
+    more = materialise(block_links(members, similarity))
+    if not more.isEmpty():
+        comp = components(links.unionByName(more))
     release(docs.sparkSession)
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    label = nodes.select("c1", "c2", "node").join(comp, "node", "left").join(degree, "node", "left")
-    label = label.select("c1", "c2", F.coalesce("comp", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sk.select("doc", "c1", "c2").join(label, ["c1", "c2"], "left").select("doc", F.coalesce("class", "doc").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = materialise(out)
+    label = nodes.select("c1", "c2", "node").join(comp, "node", "left").select("c1", "c2", F.coalesce("comp", "node").alias("class"))
+    out = materialise(sk.select("doc", "c1", "c2").join(label, ["c1", "c2"], "left").select("doc", F.coalesce("class", "doc").alias("class")))
     size = out.groupBy("class").agg(F.count("*").alias("class_size"))
     named = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.join(size, "class").select(named("doc").alias("doc_id"), named("class").alias("class_id"), "class_size", "n_links", (F.col("doc") == F.col("class")).alias("kept"))
+    return out.join(size, "class").select(named("doc").alias("doc_id"), named("class").alias("class_id"), "class_size", (F.col("doc") == F.col("class")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -29,68 +29,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise, release, text_of
+from .words import U, digest, mix, prefix_sums, word_names
 
 WINDOW = 20
 ROUNDS = 4
-BATCH_WORDS = 600_000
-CACHE_WORDS = 400_000
+BATCH_BYTES = 3_000_000
+BROADCAST_IDS = 1_000_000  # 8 MB
 NULL_ID = -(2**63)
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-class Words:
-    """Texts to word lists and 64-bit word names; powers for window digests."""
-
-    def __init__(self):
-        self.name: dict[bytes, int] = {}
-        self.powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def names(self, words: list[bytes]) -> np.ndarray:
-        new = set(words) - self.name.keys()
-        if len(self.name) + len(new) > CACHE_WORDS:
-            self.name.clear()
-            new = set(words)
-        self.name.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        return np.fromiter(map(self.name.__getitem__, words), U, len(words))
-
-    def sums(self, names: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-        """Prefix sums of names times powers, and the inverse powers."""
-        n = len(names) + 1
-        if base not in self.powers or len(self.powers[base][0]) < n:
-            size = max(n, BATCH_WORDS + 1)
-            inverse = pow(base, -1, 2**64)
-            up, down = (np.multiply.accumulate(np.r_[U(1), np.full(size - 1, b, U)]) for b in (base, inverse))
-            self.powers[base] = up, down
-        up, down = self.powers[base]
-        return np.r_[U(0), np.cumsum(names * up[: n - 1], dtype=U)], down
-
-
-def digest(sums: np.ndarray, down: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Of the words lo..hi-1, the same wherever they stand."""
-    return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(U))
-
-
-def batches_of(texts: list[str]) -> Iterator[tuple[int, int, list[list[bytes]]]]:
-    """Ranges of rows of about BATCH_WORDS words: first, end, words of each."""
+def batches_of(texts: list[str]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows of about BATCH_BYTES: first, end, their bytes."""
     at, part, size = 0, [], 0
     for i, t in enumerate(texts):
-        # bytes.split() parts at ASCII white space alone, as the window's words do
-        words = t.encode("utf-8", "replace").split()
-        part.append(words)
-        size += len(words)
-        if size >= BATCH_WORDS or i == len(texts) - 1:
+        part.append(t.encode("utf-8", "replace"))
+        size += len(part[-1])
+        if size >= BATCH_BYTES or i == len(texts) - 1:
             yield at, i + 1, part
             at, part, size = i + 1, [], 0
 
@@ -141,34 +100,40 @@ def picked(names: np.ndarray, lengths: np.ndarray, sums: np.ndarray, down: np.nd
     first, last = np.zeros(n, bool), np.zeros(n, bool)
     full = lengths > 0
     first[(ends - lengths)[full]], last[ends[full] - 1] = True, True
-    doc_end = np.repeat(ends, lengths)
-    doc_start = np.repeat(ends - lengths, lengths)
+    doc_end = np.repeat(ends, lengths).astype(np.int32)
+    doc_start = np.repeat(ends - lengths, lengths).astype(np.int32)
     valid = np.arange(n) + window <= doc_end
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     levels = [Level(names, at, at + 1, at, at + 1, first, last)]
     levels.append(levels[0].runs())
     for r in range(rounds):
         levels.append(levels[-1].pairs(r))
     symbol, mark = np.full(n, -1), np.zeros(n, U)
+    open_ = valid.copy()
     for k in range(len(levels) - 1, -1, -1):
         v = levels[k]
         low = np.maximum(doc_start[v.x], v.hi - window)
         high = np.minimum(v.lo, doc_end[v.x] - window)
+        # below the top, only symbols that reach a window still without one
+        left = np.r_[0, np.cumsum(open_)]
         ok = np.flatnonzero((high >= low) & (v.hi - v.lo <= window))
+        ok = ok[left[high[ok] + 1] > left[low[ok]]]
         if len(ok):
-            rank = np.empty(len(ok), np.int64)
-            rank[np.lexsort((-v.x[ok], v.name[ok]))] = np.arange(len(ok))
+            rank = np.empty(len(ok), np.int32)
+            rank[np.lexsort((-v.x[ok], v.name[ok]))] = np.arange(len(ok), dtype=np.int32)
             times = high[ok] - low[ok] + 1
-            to = np.repeat(low[ok], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            best = np.full(n, -1)
-            np.maximum.at(best, to, np.repeat(rank, times))
+            best = np.full(n, -1, np.int32)
+            for step in range(int(times.max())):  # at most a window's length
+                more = times > step
+                np.maximum.at(best, low[ok[more]] + step, rank[more])
             back = np.empty(len(ok), np.int64)
             back[rank] = ok
-            new = np.flatnonzero((symbol < 0) & valid & (best >= 0))
+            new = np.flatnonzero(open_ & (best >= 0))
+            open_[new] = False
             s = back[best[new]]
             symbol[new] = s * len(levels) + k
             mark[new] = mix(digest(sums, down, v.lo[s], v.hi[s]) + (v.x[s] - v.lo[s]).astype(U) * U(BASE2) + U(k))
-        if not (valid & (symbol < 0)).any():
+        if not open_.any():
             break
     starts = np.flatnonzero(valid)
     if not len(starts):
@@ -184,15 +149,13 @@ def symbols_of(docs: DataFrame, window: int) -> DataFrame:
     """key, settled, doc, a, b: each document's picked symbols and the windows that picked them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Words()
         for f in batches:
             ids = f.doc.to_numpy()
-            for i, j, words in batches_of(list(f.text)):
-                lengths = np.array([len(w) for w in words])
-                names = known.names([w for part in words for w in part])
+            for i, j, blobs in batches_of(list(f.text)):
+                names, lengths = word_names(blobs)
                 if not len(names):
                     continue
-                a, b, mark = picked(names, lengths, *known.sums(names, BASE), window)
+                a, b, mark = picked(names, lengths, *prefix_sums(names, BASE), window)
                 doc = np.searchsorted(np.cumsum(lengths), a, "right")
                 base = (np.cumsum(lengths) - lengths)[doc]
                 _, at, group, count = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
@@ -214,11 +177,10 @@ def windows_of(docs: DataFrame, window: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Words()
         for f in batches:
             ids, spans = f.doc.to_numpy(), list(f.spans)
-            for i, j, words in batches_of(list(f.text)):
-                lengths = np.array([len(w) for w in words])
+            for i, j, blobs in batches_of(list(f.text)):
+                names, lengths = word_names(blobs)
                 starts, docs = [], []
                 for d in range(j - i):
                     top = lengths[d] - window + 1
@@ -234,10 +196,9 @@ def windows_of(docs: DataFrame, window: int) -> DataFrame:
                 if not starts:
                     continue
                 start, doc = np.concatenate(starts), np.concatenate(docs)
-                names = known.names([w for part in words for w in part])
                 at = (np.cumsum(lengths) - lengths)[doc] + start
-                h1 = digest(*known.sums(names, BASE), at, at + window)
-                h2 = digest(*known.sums(mix(names + U(BASE2)), BASE2), at, at + window)
+                h1 = digest(*prefix_sums(names, BASE), at, at + window)
+                h2 = digest(*prefix_sums(mix(names + U(BASE2)), BASE2), at, at + window)
                 who = ids[i:j][doc]
                 order = np.lexsort((start, who, h2, h1))
                 o = order
@@ -259,9 +220,24 @@ def windows_of(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInPandas(run, "h1 long, h2 long, settled boolean, doc long, a int, b int")
 
 
+def later_copies(rows: DataFrame) -> DataFrame:
+    """doc: documents whose whole text a smaller doc_id has. All their windows start earlier. A table."""
+    sha = rows.select("doc", F.sha2("text", 256).alias("sha"))
+    first = sha.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    return materialise(sha.join(first.select("sha", "first"), "sha").where("doc > first").select("doc").distinct())
+
+
+def without(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """``rows`` but ``copies``: by broadcast while these are few, by shuffle beyond."""
+    few = copies.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(copies) if few else copies, "doc", "left_anti")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc, spans: starts a..b of windows that also start earlier. A table in the shared folder."""
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), text_of().alias("text"))
+    copies = later_copies(rows)
+    rows = without(rows, copies)
     symbols = symbols_of(rows, window)
     shared = symbols.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("settled or n > 1")
     spans = materialise(shared.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
@@ -273,7 +249,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     out = materialise(found.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     del found
     release(docs.sparkSession)
-    return out
+    whole = copies.select("doc", F.array(F.struct(F.lit(0).alias("a"), F.lit(2**31 - 1 - window).alias("b"))).alias("spans"))
+    return out.unionByName(whole)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -289,8 +266,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept = words
                 if found is not None and len(found):
                     mark = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(mark, np.minimum([s["a"] for s in found], len(words)), 1)
-                    np.add.at(mark, np.minimum([s["b"] + window for s in found], len(words)), -1)
+                    if len(words) >= window:
+                        np.add.at(mark, np.minimum([s["a"] for s in found], len(words)), 1)
+                        np.add.at(mark, np.minimum([s["b"] + window for s in found], len(words)), -1)
                     kept = [words[k] for k in np.flatnonzero(np.cumsum(mark[:-1]) == 0)]
                 joined = b" ".join(kept)
                 out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8")))

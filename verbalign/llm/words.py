@@ -4,9 +4,65 @@ from __future__ import annotations
 
 import string
 
+import numpy as np
+
 _SPACED = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
+def spaced(text: str) -> bytes:
+    """Lower-cased UTF-8 with white space for ASCII punctuation."""
+    return text.lower().encode("utf-8", "replace").translate(_SPACED)
+
+
 def words_of(text: str) -> list[bytes]:
     """Lower-cased UTF-8 words between white space and ASCII punctuation."""
-    return text.lower().encode("utf-8", "replace").translate(_SPACED).split()
+    return spaced(text).split()
+
+
+#: Odd multipliers of 64-bit arithmetic, any will do.
+BYTE_BASE = 0xA24BAED4963EE407
+U = np.uint64
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = np.random.default_rng(64).integers(0, 2**64, 256, U)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser, by multiply and xor-shift."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of an odd base and of its inverse, mod 2**64, 0 to n-1 at least."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        n = max(n, 1 << 16, 2 * len(_POWERS.get(base, ([], []))[0]) if n < 1 << 23 else 0)
+        _POWERS[base] = tuple(np.multiply.accumulate(np.r_[U(1), np.full(n - 1, b, U)]) for b in (base, pow(base, -1, 2**64)))
+    return _POWERS[base]
+
+
+def prefix_sums(names: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of names times powers, and the inverse powers."""
+    up, down = powers(base, len(names) + 1)
+    return np.r_[U(0), np.cumsum(names * up[: len(names)], dtype=U)], down
+
+
+def digest(sums: np.ndarray, down: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Of the names lo..hi-1, the same wherever they stand."""
+    return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(U))
+
+
+def word_names(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of all words between ASCII white space, and each blob's number of words.
+
+    Names are digests of the bytes, made for a whole batch at once.
+    """
+    data = np.frombuffer(b" ".join(blobs) + b" ", np.uint8)
+    space = _SPACE[data]
+    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    ends = np.flatnonzero(space & np.r_[False, ~space[:-1]])
+    ends_of = np.cumsum([len(b) + 1 for b in blobs])
+    counts = np.diff(np.searchsorted(starts, np.r_[0, ends_of])) if blobs else np.empty(0, np.int64)
+    return digest(*prefix_sums(_BYTE[data], BYTE_BASE), starts, ends), counts
