@@ -1,4 +1,341 @@
-"""Every registered query with its SQL, by name."""
+"""All queries of the library with their DuckDB SQL, by name."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import languages
+from ..functions import text as T
+from ..functions.similarity import metrics_udf
+from ..operators import align as A
+from ..operators import compare as C
+from ..operators import context, ocr_select, review, segments
+from ..params import CompareParams
+from . import fixtures as X
+from . import sql as S
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) by its name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def document_captions(spark, sf_dir) -> DataFrame:
+    return X.captions(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+def talk(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Speech and subtitles of all conversations."""
+    c = X.captions(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+    return X.speech_of(c), X.subtitles_of(c)
+
+
+DOC = "with " + X.captions_sql("documents", "doc_id")
+TALK = "with " + X.captions_sql("conversations", "conv_id", "turn") + ",\n" + X.SPEECH_SQL + ",\n" + X.SUBTITLE_SQL
+
+# --- text ---------------------------------------------------------------------------------
+
+
+@query(f"select doc_id, {S.normalize('text')} as norm from documents")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
+
+
+@query(f"select doc_id, round({S.script_ratio('text', 'en')}, 6) as en, round({S.script_ratio('text', 'multi')}, 6) as multi from documents")
+def script_ratio(spark, sf_dir):
+    ratio = lambda code: F.round(T.script_ratio(F.col("text"), code), 6).alias(code)
+    return table(spark, sf_dir, "documents").select("doc_id", ratio("en"), ratio("multi"))
+
+
+@query(f"{DOC} select media as doc_id, seq, {S.is_garbage('text')} as garbage from c")
+def garbage_filter(spark, sf_dir):
+    return document_captions(spark, sf_dir).select(F.col("media").alias("doc_id"), "seq", T.is_garbage(F.col("text")).alias("garbage"))
+
+
+@query(f"with s as (select doc_id, {S.strip('text')} as t from documents) select doc_id, {S.is_loop('t')} as looping from s")
+def hallucination_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.is_loop(F.col("text")).alias("looping"))
+
+
+@query(f"select page_id, {S.safe_name('url')} as safe, {S.stable_name('url')} as stable, {S.path_stem('url')} as stem from pages")
+def safe_names(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", T.safe_name(u).alias("safe"), T.stable_name(u).alias("stable"), T.path_stem(u).alias("stem"))
+
+
+@query("""select page_id, regexp_matches(url, '^(?i)https?:') as url_like, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) as host,
+  lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) in ('youtube.com', 'youtu.be', 'www.youtube.com', 'm.youtube.com') as video_host from pages""")
+def url_parts(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", T.is_url(u).alias("url_like"), T.url_host(u).alias("host"), T.is_video_host(u).alias("video_host"))
+
+
+@query("select page_id, length(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')) as n, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')) as digest from pages")
+def html_escape(spark, sf_dir):
+    e = T.html_escape(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.length(e).cast("long").alias("n"), F.md5(e.cast("binary")).alias("digest"))
+
+
+@query("""select lang, count(*) as documents, case when lang in ('en','hi','kn','ta','te') then lang else 'multi' end as screen,
+  case when lang in ('hi','kn','ta','te') then 'medium' else 'small' end as model from documents group by lang""")
+def language_choice(spark, sf_dir):
+    dim = F.broadcast(languages.dimension(spark).select(F.col("code").alias("lang"), "default_model"))
+    d = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("documents")).join(dim, "lang", "left")
+    return d.select("lang", "documents", F.when(F.col("default_model").isNotNull(), F.col("lang")).otherwise(languages.MULTI).alias("screen"), F.coalesce("default_model", F.lit("small")).alias("model"))
+
+
+@query(f"""{DOC} select media as doc_id, seq,
+  printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) as srt,
+  case when ms >= 3600000 then printf('%dh %dm %ds', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60) else printf('%dm %ds', ms // 60000, ms // 1000 % 60) end as lasted,
+  case when ms >= 3600000 then printf('%d:%02d:%02d.%02d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000 // 10) else printf('%02d:%02d.%02d', ms // 60000, ms // 1000 % 60, ms % 1000 // 10) end as clock from c""")
+def time_formats(spark, sf_dir):
+    s = F.col("ms") / 1000
+    return document_captions(spark, sf_dir).select(F.col("media").alias("doc_id"), "seq", T.srt_timestamp(s).alias("srt"), T.duration(s).alias("lasted"), T.clock(s).alias("clock"))
+
+
+# --- segments -----------------------------------------------------------------------------
+
+
+def noisy(c: DataFrame) -> DataFrame:
+    """Captions as recogniser output: some blank, some of low confidence, some overlapping."""
+    kind = (F.col("media") + F.col("seq")) % 7
+    text = F.when(kind == 0, "").otherwise(F.col("text"))
+    end = (F.col("ms") + F.col("len_ms") + F.when(kind == 3, 700).otherwise(0)) / 1000
+    return c.select(F.col("media").cast("string").alias("media_id"), "seq", (F.col("ms") / 1000).alias("start"), end.alias("end"), text.alias("text"), F.when(kind == 5, -2.0).otherwise(-0.5).alias("avg_logprob"))
+
+
+NOISY = f"""{DOC}, n as (select cast(media as varchar) as media_id, seq, ms, ms + len_ms + case when (media + seq) % 7 = 3 then 700 else 0 end as end_ms,
+  case when (media + seq) % 7 = 0 then '' else text end as raw, case when (media + seq) % 7 = 5 then -2.0 else -0.5 end as conf from c),
+b as (select media_id, seq, ms, end_ms, conf, case when {S.is_loop('raw')} or (conf < -1.5 and length(raw) < 10) then '' else raw end as text from n)"""
+
+
+@query(f"{NOISY}, k as (select * from b where not (text = '' and end_ms / 1000.0::double - ms / 1000.0::double < 0.5)) select media_id, row_number() over (partition by media_id order by seq) as id, ms / 1000.0 as \"start\", end_ms / 1000.0 as \"end\", text, cast(conf as double) as confidence from k")
+def noise_filter(spark, sf_dir):
+    s = segments.filter_noise(segments.build(noisy(document_captions(spark, sf_dir))))
+    return s.select("media_id", F.col("id").cast("long").alias("id"), "start", "end", "text", "confidence")
+
+
+FIXED = f"""{NOISY}, v as (select *, lead(ms) over (partition by media_id order by ms, seq) as nxt, row_number() over (partition by media_id order by ms, seq) as id
+  from b where text <> '' and end_ms / 1000.0::double - ms / 1000.0::double >= 0.3),
+f as (select media_id, id, ms, case when nxt / 1000.0::double < end_ms / 1000.0::double + 0.1 then nxt - 100 else end_ms end as end_ms, text from v)"""
+
+
+@query(f"{FIXED} select media_id, id, ms / 1000.0 as \"start\", end_ms / 1000.0 as \"end\", text from f")
+def srt_overlap_fix(spark, sf_dir):
+    f = segments.fix_overlaps(segments.build(noisy(document_captions(spark, sf_dir))))
+    return f.select("media_id", F.col("id").cast("long").alias("id"), "start", "end", "text")
+
+
+def _t(ms: str) -> str:
+    return f"printf('%02d:%02d:%02d,%03d', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60, {ms} % 1000)"
+
+
+@query(f"{FIXED} select media_id, string_agg(id || chr(10) || {_t('ms')} || ' --> ' || {_t('end_ms')} || chr(10) || text, chr(10) || chr(10) order by id) || chr(10) as srt from f group by media_id")
+def srt_render(spark, sf_dir):
+    return segments.render_srt(segments.build(noisy(document_captions(spark, sf_dir))))
+
+
+@query(f"{NOISY} select media_id, cast(count_if(text <> '') as bigint) as valid, cast(count_if(text = '') as bigint) as empty from b group by media_id")
+def transcript_counts(spark, sf_dir):
+    return segments.transcript_counts(segments.build(noisy(document_captions(spark, sf_dir))))
+
+
+@query()
+def sample_times(spark, sf_dir):
+    s = segments.build(noisy(document_captions(spark, sf_dir)))
+    return s.select("media_id", "id", segments.sample_times(F.col("start"), F.col("end"), F.col("midpoint"), 0.35, 3).alias("times"))
+
+
+# --- joins --------------------------------------------------------------------------------
+
+
+@query(f"""{TALK}, l as (select media_id, id, max(seq) as s_seq from sub where id is not null group by 1, 2),
+m as (select a.media_id, a.seq as a_seq, l.s_seq from speech a left join l on a.media_id = l.media_id and a.id = l.id)
+select * from m union all select s.media_id, null, s.seq from sub s where not exists (select 1 from m where m.media_id = s.media_id and m.s_seq = s.seq)""")
+def align_by_id(spark, sf_dir):
+    return A.align_ids(*talk(spark, sf_dir))
+
+
+@query()
+def align_greedy(spark, sf_dir):
+    return A.align(*talk(spark, sf_dir)).select("media_id", "pos", "a_seq", "s_seq")
+
+
+@query("""with v as (select event_id, user_id, epoch_us(ts) as ts from events where event_type = 'view'),
+c as (select event_id as click_id, user_id, epoch_us(ts) as ts from events where event_type = 'click'),
+m as (select event_id, click_id, abs(v.ts - c.ts) as gap, row_number() over (partition by event_id order by abs(v.ts - c.ts), click_id) as rn from v join c on v.user_id = c.user_id and abs(v.ts - c.ts) <= 21600000000)
+select v.event_id, m.click_id, m.gap from v left join m on v.event_id = m.event_id and rn = 1""")
+def nearest_within_tolerance(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
+    kind = lambda k, n: e.where(F.col("event_type") == k).select("user_id", "ts", F.col("event_id").alias(n))
+    return A.nearest_within(kind("view", "event_id"), kind("click", "click_id"), "user_id", 21_600_000_000, "event_id", "click_id").select("event_id", "click_id", "gap")
+
+
+NEAR = f"""{TALK}, a as (select *, "start" as b_start, "end" as b_end from speech),
+t as (select *, {S.strip('text')} as s_text from sub),
+n as (select a.media_id, a.seq as a_seq, t.seq as s_seq, t.ts as s_ts, t.s_text, b_end - b_start as span from a join t on a.media_id = t.media_id and t.s_text <> ''
+  and ((t.ts >= b_start - 2.0 and t.ts <= b_end + 2.0) or abs(t.ts - a.ts) <= 2.0 or abs(t.id - a.id) <= 2))"""
+
+
+def _near(spark, sf_dir) -> DataFrame:
+    a, s = talk(spark, sf_dir)
+    a = a.select("media_id", F.col("seq").alias("a_seq"), "id", "ts", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    return context.nearby(a, s, CompareParams())
+
+
+@query(f"{NEAR} select media_id, a_seq, s_seq from n")
+def nearby_candidates(spark, sf_dir):
+    return _near(spark, sf_dir).select("media_id", "a_seq", "s_seq")
+
+
+@query(f"""{NEAR}, o as (select *, row_number() over w as i, lead(s_ts, 1) over w as t2, lead(s_ts, 2) over w as t3, lead(s_ts, 3) over w as t4,
+  lead(s_text, 1) over w as x2, lead(s_text, 2) over w as x3, lead(s_text, 3) over w as x4 from n window w as (partition by media_id, a_seq order by s_ts, s_seq))
+select media_id, a_seq, i as ordinal, 'nearby' as source, s_text as text from o
+union all select media_id, a_seq, 1000000002 + i * 10, 'nearby_2x', s_text || ' ' || x2 from o where t2 - s_ts <= greatest(4.0, span + 2.0)
+union all select media_id, a_seq, 1000000003 + i * 10, 'nearby_3x', s_text || ' ' || x2 || ' ' || x3 from o where span > 6 and t3 - s_ts <= greatest(4.0, span + 2.0)
+union all select media_id, a_seq, 1000000004 + i * 10, 'nearby_4x', s_text || ' ' || x2 || ' ' || x3 || ' ' || x4 from o where span > 6 and t4 - s_ts <= greatest(4.0, span + 2.0)""")
+def nearby_groups(spark, sf_dir):
+    return context.groups(_near(spark, sf_dir), CompareParams())
+
+
+# --- similarity ---------------------------------------------------------------------------
+
+
+def item_pairs(spark, sf_dir) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.normalize_text(F.col("text")).alias("a"))
+    return b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
+
+
+ITEMS = f"with n as (select item_id, {S.normalize('text')} as a from benchmark), p as (select n.item_id, n.a, m.a as b from n join n m on m.item_id = n.item_id + 1)"
+
+
+@query(f"{ITEMS} select item_id, round(2.0 * {S.common('a', 'b')} / (length(a) + length(b)), 4) as char, round(least(length(a), length(b))::double / greatest(length(a), length(b)), 4) as coverage from p")
+def sim_char(spark, sf_dir):
+    m = item_pairs(spark, sf_dir).select("item_id", metrics_udf()("a", "b").alias("m"))
+    return m.select("item_id", F.col("m.char").alias("char"), F.col("m.length_coverage").alias("coverage"))
+
+
+@query(f"{ITEMS}, s as (select item_id, array_to_string(list_sort(string_split(a, ' ')), ' ') as a, array_to_string(list_sort(string_split(b, ' ')), ' ') as b from p) select item_id, round(2.0 * {S.common('a', 'b')} / (length(a) + length(b)), 4) as token_sort from s")
+def sim_token_sort(spark, sf_dir):
+    return item_pairs(spark, sf_dir).select("item_id", metrics_udf()("a", "b")["token_sort"].alias("token_sort"))
+
+
+@query()
+def sim_score(spark, sf_dir):
+    return item_pairs(spark, sf_dir).select("item_id", metrics_udf()("a", "b").alias("m")).select("item_id", "m.*")
+
+
+# --- compare ------------------------------------------------------------------------------
+
+
+@query(f"""{TALK}, l as (select media_id, id, max(seq) as s_seq from sub where id is not null group by 1, 2),
+m as (select a.media_id, a.text as x, s.text as y from speech a left join l on a.media_id = l.media_id and a.id = l.id left join sub s on s.media_id = l.media_id and s.seq = l.s_seq),
+r as (select media_id, {S.normalize('x')} as x, {S.normalize('y')} as y from m),
+g as (select media_id, case when x = '' and y = '' then 1.0 when x = '' or y = '' then 0.0 else round(least(length(x), length(y))::double / greatest(length(x), length(y)), 4) end as score, x = y as same from r)
+select media_id, count(*) as rows, cast(count_if(same) as bigint) as same, cast(count_if(score >= 0.8) as bigint) as ok, cast(sum(round(score * 10000)) as bigint) as total from g group by media_id""")
+def compare_min(spark, sf_dir):
+    """The smallest comparison: by id, normalised, covered lengths, summed by item."""
+    a, s = talk(spark, sf_dir)
+    p = A.align_ids(a, s).where("a_seq is not null").join(a.select("media_id", F.col("seq").alias("a_seq"), F.col("text").alias("x")), ["media_id", "a_seq"])
+    p = p.join(s.select("media_id", F.col("seq").alias("s_seq"), F.col("text").alias("y")), ["media_id", "s_seq"], "left")
+    p = p.select("media_id", T.normalize_text(F.col("x")).alias("x"), T.normalize_text(F.col("y")).alias("y"))
+    n, m = F.length("x"), F.length("y")
+    score = F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(F.round(F.least(n, m) / F.greatest(n, m), 4))
+    p = p.select("media_id", (F.col("x") == F.col("y")).alias("same"), score.alias("score"))
+    return p.groupBy("media_id").agg(F.count("*").alias("rows"), F.count_if("same").alias("same"), F.count_if(F.col("score") >= 0.8).alias("ok"), F.sum(F.round(F.col("score") * 10000)).cast("long").alias("total"))
+
+
+def compared(spark, sf_dir) -> DataFrame:
+    return C.compare(*talk(spark, sf_dir))
+
+
+@query()
+def compare_full(spark, sf_dir):
+    return review.csv_rows(compared(spark, sf_dir))
+
+
+@query()
+def compare_summary(spark, sf_dir):
+    return C.summarize(compared(spark, sf_dir))
+
+
+@query()
+def reason_counts(spark, sf_dir):
+    return compared(spark, sf_dir).groupBy("reason", "status").agg(F.count("*").alias("rows"), F.round(F.avg("score"), 4).alias("avg_score"))
+
+
+@query()
+def review_report(spark, sf_dir):
+    """Rows to review, worst first, with their table cells."""
+    rows = review.review_filter(compared(spark, sf_dir), status="REVIEW")
+    return review.review_sort(rows, "score").select("media_id", "id", "score", review.row_html().alias("html"))
+
+
+# --- screen readings ----------------------------------------------------------------------
+
+
+def read_words(c: DataFrame) -> DataFrame:
+    w = c.select("media", "seq", F.posexplode(F.split("text", " ")).alias("pos", "text"))
+    conf = (F.col("media") * 7 + F.col("seq") * 13 + F.col("pos") * 29) % 110 - 5
+    return w.withColumn("conf", F.when(conf == 7, "n/a").otherwise(conf.cast("string")))
+
+
+WORDS_SQL = f"""{DOC}, x as (select media, seq, unnest(string_split(text, ' ')) as word, unnest(range(0, len(string_split(text, ' ')))) as pos from c),
+y as (select *, (media * 7 + seq * 13 + pos * 29) % 110 - 5 as raw from x), z as (select *, case when raw = 7 then -1 else raw end as c from y)"""
+
+
+@query(f"""{WORDS_SQL} select media, seq, coalesce(string_agg(case when word <> '' and not (c >= 0 and c < 20) then word end, ' ' order by pos), '') as text,
+  round(avg(case when word <> '' and c >= 20 then c end) / 100, 4) as confidence from z group by media, seq""")
+def ocr_word_filter(spark, sf_dir):
+    return ocr_select.filter_words(read_words(document_captions(spark, sf_dir)), "media", "seq")
+
+
+def readings(c: DataFrame) -> DataFrame:
+    """Four readings of each caption: the text, its first half, its upper case, symbols."""
+    n = F.length("text")
+    made = F.array(F.col("text"), F.left("text", (n / 2).cast("int")), F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))), F.lit("#@ 12 !!"))
+    r = c.select("media", "seq", F.posexplode(made).alias("ordinal", "text"))
+    conf = ((F.col("media") * 3 + F.col("seq") * 5 + F.col("ordinal") * 31) % 100) / 100
+    return r.select("media", "seq", "ordinal", F.element_at(F.array(*map(F.lit, ("clahe_gray", "otsu", "inv_otsu", "adaptive"))), F.col("ordinal") + 1).alias("variant"), F.lit(6).alias("psm"), "text", F.when(conf > 0.05, conf).alias("confidence"))
+
+
+@query(f"""{DOC}, r as (select media, seq, unnest([text, left(text, cast(floor(length(text) / 2.0) as int)), upper(replace(text, 'ß', 'ss')), '#@ 12 !!']) as raw, unnest([0, 1, 2, 3]) as ordinal from c),
+k as (select media, seq, ordinal, trim(raw) as text, case when (media * 3 + seq * 5 + ordinal * 31) % 100 > 5 then ((media * 3 + seq * 5 + ordinal * 31) % 100) / 100.0 end as conf from r),
+g as (select *, {S.script_ratio('text', 'multi')} as script from k where text <> '' and not {S.is_garbage('text')}),
+v as (select *, coalesce(conf, 0.01) + least(length(text), 80) / 400.0 + script * 0.15 as value, min(case when conf > 0.72 and script > 0.70 then ordinal end) over (partition by media, seq) as stop from g),
+b as (select *, row_number() over (partition by media, seq order by round(value, 9) desc, ordinal) as rn from v where stop is null or ordinal <= stop)
+select media, seq, text, cast(conf as double) as confidence, ['clahe_gray', 'otsu', 'inv_otsu', 'adaptive'][ordinal + 1] || '/psm6' as ocr_variant from b where rn = 1""")
+def best_variant(spark, sf_dir):
+    return ocr_select.best_variant(readings(document_captions(spark, sf_dir)), "media", "seq")
+
+
+@query()
+def best_frame(spark, sf_dir):
+    a, _ = talk(spark, sf_dir)
+    n = F.length("text")
+    made = F.array(F.col("text"), F.left("text", (n / 2).cast("int")), F.lit(""))
+    f = a.select("media_id", F.col("seq").alias("id"), F.col("ts").alias("mid"), F.col("text").alias("audio_text"), F.posexplode(made).alias("frame", "text"))
+    f = f.select("*", (F.col("mid") + F.col("frame") * 0.35).alias("ts"), F.when(F.col("text") != "", 0.4 + F.col("frame") * 0.2).alias("confidence"), F.lit(100.0).alias("sharpness"), (F.col("id") % 9 != 0).alias("readable"))
+    return ocr_select.best_frame(f)
+
+
+@query()
+def merge_unique_texts(spark, sf_dir):
+    """Each document's lines, without lines within other lines before them."""
+    lines = F.split("text", "\n")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(ocr_select.merge_unique(lines).cast("binary")).alias("digest"))
