@@ -165,7 +165,15 @@ def cheap(a: list[str], b: list[str]) -> tuple[np.ndarray, ...]:
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     short = np.minimum(la, lb)
     longest = char * (la + lb) / 2
-    return char, sort, token_set(ta, tb), short / np.maximum(la, lb), np.minimum(1, 2 * longest / (short + longest))
+    # without a shared or a repeated word the word sets are the word lists
+    sets, rest = sort.copy(), []
+    for i, (x, y) in enumerate(zip(ta, tb)):
+        sx, sy = set(x), set(y)
+        if len(sx) < len(x) or len(sy) < len(y) or not sx.isdisjoint(sy):
+            rest.append(i)
+    if rest:
+        sets[rest] = token_set([ta[i] for i in rest], [tb[i] for i in rest])
+    return char, sort, sets, short / np.maximum(la, lb), np.minimum(1, 2 * longest / (short + longest))
 
 
 def blended(char, sort, part, sets, cover) -> np.ndarray:
