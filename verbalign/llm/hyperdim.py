@@ -127,7 +127,8 @@ def learn(labelled: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
                 x, langs = unit(x), part.lang.to_numpy()
                 for lang in set(langs[lettered]):
                     sums[lang] = sums.get(lang, 0) + x[(langs == lang) & lettered].sum(0, dtype=np.float64)
-        yield pd.DataFrame({"lang": list(sums), "v": [x.tolist() for x in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": [x.tolist() for x in sums.values()]})
 
     rows = labelled.select("text", "lang").mapInPandas(bundle, "lang string, v array<double>")
     rows = rows.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))

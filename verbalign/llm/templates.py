@@ -19,7 +19,7 @@ on over ``SUPPORT`` of its pages is no more than a page holds. Inside an article
 or main element nothing counts as fixed, nor where a page would keep no text:
 copies of one page are not a template.
 
-Defined results: null or empty html gives an empty text; a page without a host
+Defined results: a line break is white space inside its block; null or empty html gives an empty text; a page without a host
 is its own host ''; a host with fewer than ``MIN_PAGES`` pages has no template,
 and only the furniture rules apply; rows that repeat a page_id are done each.
 """
@@ -90,6 +90,9 @@ def parsed(source: str) -> tuple[list[str], list[Run]]:
             if m[0].startswith("<![CDATA["):
                 text_run(m[0][9:-3].replace("&", "&amp;"))
             continue
+        if name == "br":  # a line's end is white space inside its block
+            text_run(" ")
+            continue
         if name not in INLINE:
             block += 1
         if m[1]:
