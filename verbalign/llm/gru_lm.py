@@ -41,7 +41,7 @@ from .hyperdim import held_out
 
 HEAD, CLASSES, HIDDEN, EMBED = 2048, 40, 24, 16
 LISTED, SURE = 60_000, 3  # words whose class is known everywhere: a bounded list
-STEPS, STREAMS, EVERY, PASSES, RATE = 24, 64, 6, 2, 0.02
+STEPS, STREAMS, EVERY, PASSES, RATE = 24, 96, 8, 1, 0.05
 BUCKET_CHARS = 12_000_000
 END = b""  # the end's name: no word is empty
 HELD_MODULUS, HELD_REMAINDER = 7, 2
@@ -319,11 +319,12 @@ def train(rows: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
 
         def run(batches: Iterator[pd.DataFrame], w=w, round_=round_) -> Iterator[pd.DataFrame]:
             own, moments, seen, part, size = {k: v.copy() for k, v in w.items()}, {}, 0, [], 0
+            inputs, classes, find = np.r_[vocab.input_of, vocab.inputs - 1], np.r_[vocab.class_of, vocab.rare], vocab.index.get
             for b in batches:
                 for t in b.text:
-                    places = [vocab.place(x, 1) for x in words_in(t)]
-                    part.append((np.array([g[0] for g in places]), np.array([g[1] for g in places])))
-                    size += len(places)
+                    k = np.array([find(x, -1) for x in words_in(t)])  # -1: the rare class, the last of both
+                    part.append((inputs[k], classes[k]))
+                    size += len(k)
                     if size > 150_000:
                         seen += train_documents(own, vocab, part, RATE / (1 + round_), moments)
                         part, size = [], 0
@@ -382,18 +383,20 @@ def score_corpus(docs: DataFrame) -> DataFrame:
         count = dict(zip(counts.word.tolist(), counts.n.tolist()))
         n, v = vocab.total, vocab.types
         unseen = math.log10(1 / (n + v + 1))
-        place: dict[bytes, tuple[int, int, float, int, float]] = {}
-        out, placed = [], []
-        for doc_id, held, text in zip(texts.doc_id, texts.held_out, texts.text):
+        index: dict[bytes, int] = {}
+        tokens = []
+        for text in texts.text:
             words = words_in(text)
-            for x in words:
-                if x not in place:
-                    i = vocab.index.get(x)
-                    c = int(vocab.counts[i]) if i is not None else count.get(name_of(x), 0)
-                    place[x] = (*vocab.place(x, c), int(c > 0), math.log10((c + 1) / (n + v + 1)) if c else unseen)
-            got = np.array([place[x] for x in words])
-            placed.append((got[:, 0].astype(np.int64), got[:, 1].astype(np.int64), got[:, 2]))
-            out.append((doc_id, held, len(words), int(got[:, 3].sum()), n, math.fsum(got[:, 4])))
+            tokens.append(np.fromiter((index.setdefault(x, len(index)) for x in words), np.int64, len(words)))
+        # by distinct word of the bucket: input, class, share, known, base
+        facts = np.empty((len(index), 5))
+        for k, x in enumerate(index):
+            i = vocab.index.get(x)
+            c = int(vocab.counts[i]) if i is not None else count.get(name_of(x), 0)
+            facts[k] = (*vocab.place(x, c), c > 0, math.log10((c + 1) / (n + v + 1)) if c else unseen)
+        inputs, classes = facts[:, 0].astype(np.int64), facts[:, 1].astype(np.int64)
+        out = [(doc_id, held, len(t), int(facts[t, 3].sum()), n, math.fsum(facts[t, 4])) for doc_id, held, t in zip(texts.doc_id, texts.held_out, tokens)]
+        placed = [(inputs[t], classes[t], facts[t, 2]) for t in tokens]
         frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         frame["score"] = score_documents(w, vocab, placed)
