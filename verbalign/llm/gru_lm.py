@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from .common import documents, materialise, release, text_of
 from .hyperdim import held_out
 
-HEAD, CLASSES, HIDDEN, EMBED = 2048, 40, 24, 16
+HEAD, CLASSES, HIDDEN, EMBED = 1024, 32, 16, 16
 LISTED, SURE = 60_000, 3  # words whose class is known everywhere: a bounded list
-STEPS, STREAMS, EVERY, PASSES, RATE = 24, 96, 8, 1, 0.05
-BUCKET_CHARS = 12_000_000
+STEPS, STREAMS, EVERY, PASSES, RATE = 24, 96, 16, 1, 0.05
+BUCKET_CHARS = 16_000_000
 END = b""  # the end's name: no word is empty
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 LN10 = math.log(10)
@@ -294,7 +294,14 @@ def counted(rows: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From (token, n): the listed words, and the sums over all words."""
-    listed = [(bytes(r.token), r.n) for r in counts.where(F.col("n") >= SURE).orderBy(F.desc("n"), "token").limit(LISTED).select("token", "n").collect()]
+    # the least count of a listed word comes from how many words have each count, so no more than the list is sent
+    cut, above = SURE, 0
+    for r in counts.where(F.col("n") >= SURE).groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(LISTED).collect():
+        above += r.words
+        if above > LISTED:
+            cut = r.n + 1
+            break
+    listed = sorted(((bytes(r.token), r.n) for r in counts.where(F.col("n") >= cut).select("token", "n").collect()), key=lambda x: (-x[1], x[0]))
     total, types, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
     return Vocabulary(listed, total, types, once)
 
@@ -346,7 +353,7 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_of().alias("text"), held_out(HELD_REMAINDER, HELD_MODULUS).alias("held_out"))
     training = rows.where("not held_out")
-    counts = materialise(counted(training).groupBy("word").agg(F.any_value("token").alias("token"), F.sum("n").alias("n")))
+    counts = materialise(counted(training).groupBy("word", "token").agg(F.sum("n").alias("n")))
     vocab = vocabulary(counts)
     release(spark)
     w = train(training, vocab)
@@ -387,16 +394,16 @@ def score_corpus(docs: DataFrame) -> DataFrame:
         tokens = []
         for text in texts.text:
             words = words_in(text)
-            tokens.append(np.fromiter((index.setdefault(x, len(index)) for x in words), np.int64, len(words)))
+            tokens.append(np.fromiter((index.setdefault(x, len(index)) for x in words), np.int32, len(words)))
         # by distinct word of the bucket: input, class, share, known, base
         facts = np.empty((len(index), 5))
         for k, x in enumerate(index):
             i = vocab.index.get(x)
             c = int(vocab.counts[i]) if i is not None else count.get(name_of(x), 0)
             facts[k] = (*vocab.place(x, c), c > 0, math.log10((c + 1) / (n + v + 1)) if c else unseen)
-        inputs, classes = facts[:, 0].astype(np.int64), facts[:, 1].astype(np.int64)
+        inputs, classes, shares = facts[:, 0].astype(np.int32), facts[:, 1].astype(np.int32), facts[:, 2].astype(np.float32)
         out = [(doc_id, held, len(t), int(facts[t, 3].sum()), n, math.fsum(facts[t, 4])) for doc_id, held, t in zip(texts.doc_id, texts.held_out, tokens)]
-        placed = [(inputs[t], classes[t], facts[t, 2]) for t in tokens]
+        placed = [(inputs[t], classes[t], shares[t]) for t in tokens]
         frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         frame["score"] = score_documents(w, vocab, placed)
