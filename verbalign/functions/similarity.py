@@ -278,11 +278,15 @@ def breakdown(a: list[str], b: list[str], profile: str = "indel") -> list[tuple]
 
 
 def metrics_udf(profile: str = "indel"):
-    """Column function of two normalised texts to METRICS. Evaluated once if selected once."""
+    """Column function of two normalised texts to METRICS.
+
+    Declared as not deterministic: the optimizer then neither repeats the costly
+    call for each field that is read nor moves it into an aggregate.
+    """
 
     @F.pandas_udf(METRICS)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         rows = breakdown(list(a.fillna("")), list(b.fillna("")), profile)
         return pd.DataFrame(rows, columns=[m.split()[0] for m in METRICS.split(", ")])
 
-    return run
+    return run.asNondeterministic()
