@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -14,6 +16,15 @@ from ..params import CompareParams
 from ..sources import adapters
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table in the session's shared checkpoint folder."""
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stages-")
+    path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def speech(media: DataFrame, make: Callable = adapters.FakeRecogniser) -> DataFrame:
     """media_id, seq, id, start, end, midpoint, text, confidence."""
     return segments.filter_noise(segments.build(adapters.transcribe(media, make)))
@@ -33,9 +44,9 @@ def screen(speech_rows: DataFrame, make: Callable = adapters.FakeReader, effort:
 
 
 def run(media: DataFrame, recogniser: Callable = adapters.FakeRecogniser, reader: Callable = adapters.FakeReader, p: CompareParams = CompareParams()) -> tuple[DataFrame, DataFrame]:
-    """Result rows and roll-up of media paths."""
-    said = speech(media, recogniser)
-    shown = screen(said, reader)
+    """Result rows and roll-up of media paths. The engines run once: their output is kept as tables."""
+    said = kept(speech(media, recogniser))
+    shown = kept(screen(said, reader))
     a = said.select("media_id", "seq", "id", "start", "end", F.col("midpoint").alias("ts"), "text")
     s = shown.select("media_id", F.col("id").cast("long").alias("seq"), "id", F.col("timestamp").alias("ts"), F.col("subtitle_text").alias("text"))
     rows = C.compare(a, s, p)
