@@ -89,7 +89,7 @@ def test_noise_around(spark):
 
 
 def test_summary_and_review(spark):
-    rows = C.compare(*frames(spark, [(1, 0.0, 2.0, "hello there friend"), (2, 20.0, 22.0, "nothing shown")], [(1, 1.0, "hello there friend")]))
+    rows = C.compare(*frames(spark, [(1, 0.0, 2.0, "hello there friend"), (9, 20.0, 22.0, "nothing shown")], [(1, 1.0, "hello there friend")]))
     media = spark.createDataFrame([("m",), ("empty",)], "media_id string")
     s = {r.media_id: r for r in C.summarize(rows, media).collect()}
     assert (s["m"].segment_count, s["m"].flagged_count, s["m"].avg_score, s["m"].missing_subtitle_count) == (2, 1, 0.5, 1)
