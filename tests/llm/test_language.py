@@ -54,6 +54,14 @@ def test_lm(spark):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+def test_lm_trains_on_every_document(spark):
+    """A word's embedding moves only by backpropagation over a document that has it; here each document has its own."""
+    rows = docs(spark, [f"own{i} " * 100 for i in range(32)])
+    vocab = gru_lm.Vocabulary([(b"own%d" % i, 100) for i in range(32)] + [(b"", 32)], 3232, 33, 0)
+    moved = (gru_lm.train(rows, vocab)["embed"] != vocab.start()["embed"]).any(1)
+    assert [i for i in range(32) if not moved[i]] == []
+
+
 def test_lm_is_a_distribution_and_learns():
     """Probabilities of all words and the unknown one add up to 1; gradients agree with differences; training helps."""
     import numpy as np

@@ -9,10 +9,10 @@ is the class given the state times the word given class and state; outside the
 head a word's share of its class is its count's, so any vocabulary fits.
 
 Weights start as the unigram model and are trained by truncated backpropagation
-(windows of ``STEPS`` words, state carried across them) on every ``EVERY``-th
-training document by hash: a share of the corpus that grows with it, in
-``PASSES`` rounds. In a round each task trains from the common weights over its
-share, and the weights are averaged by words seen, block by block in Spark.
+(windows of ``STEPS`` words, state carried across them) on every training
+document, in ``PASSES`` rounds. In a round each task trains from the common
+weights over its share, and the weights are averaged by words seen, block by
+block in Spark.
 
 Scoring lays a bucket's documents into parallel streams and walks them once,
 with the state carried from a document's first word to its end, so a score is of
@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from .common import documents, materialise, release, text_of
 from .hyperdim import held_out
 
-HEAD, CLASSES, HIDDEN, EMBED = 1024, 32, 16, 16
+HEAD, CLASSES, HIDDEN, EMBED = 2048, 40, 24, 16
 LISTED, SURE = 60_000, 3  # words whose class is known everywhere: a bounded list
-STEPS, STREAMS, EVERY, PASSES, RATE = 24, 96, 16, 1, 0.05
+STEPS, STREAMS, PASSES, RATE = 24, 96, 1, 0.05
 BUCKET_CHARS = 16_000_000
 END = b""  # the end's name: no word is empty
 HELD_MODULUS, HELD_REMAINDER = 7, 2
@@ -226,6 +226,9 @@ def train_documents(w, vocab: Vocabulary, docs: list[tuple[np.ndarray, np.ndarra
     words, classes = (np.concatenate([d[k] for d in docs]) for k in range(2))
     h, H, seen = np.zeros((at.shape[1], HIDDEN), np.float32), HIDDEN, 0
     for t0 in range(0, len(at), STEPS):
+        live = at[t0] >= 0
+        if not live.all():  # streams that have ended leave
+            at, fresh, h = at[:, live], fresh[:, live], h[live]
         part, begin = at[t0 : t0 + STEPS], fresh[t0 : t0 + STEPS]
         on, ids = part >= 0, words[part]
         T, S = part.shape
@@ -317,22 +320,21 @@ def averaged(trained: DataFrame, shapes: dict[str, tuple]) -> dict[str, np.ndarr
 
 
 def train(rows: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
-    """Weights after PASSES rounds over every EVERY-th document of (doc_id, text)."""
+    """Weights after PASSES rounds over every document's text."""
     w = vocab.start()
     shapes = {k: v.shape for k, v in w.items()}
     block = 4096
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(EVERY)) == 0)
     for round_ in range(PASSES):
 
         def run(batches: Iterator[pd.DataFrame], w=w, round_=round_) -> Iterator[pd.DataFrame]:
             own, moments, seen, part, size = {k: v.copy() for k, v in w.items()}, {}, 0, [], 0
-            inputs, classes, find = np.r_[vocab.input_of, vocab.inputs - 1], np.r_[vocab.class_of, vocab.rare], vocab.index.get
+            inputs, classes, find = np.r_[vocab.input_of, vocab.inputs - 1].astype(np.int32), np.r_[vocab.class_of, vocab.rare].astype(np.int32), vocab.index.get
             for b in batches:
                 for t in b.text:
                     k = np.array([find(x, -1) for x in words_in(t)])  # -1: the rare class, the last of both
                     part.append((inputs[k], classes[k]))
                     size += len(k)
-                    if size > 150_000:
+                    if size > 1_500_000:  # so many that a long document leaves no streams idle
                         seen += train_documents(own, vocab, part, RATE / (1 + round_), moments)
                         part, size = [], 0
             if part:
@@ -343,7 +345,7 @@ def train(rows: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
                     cuts = range(0, len(flat), block)
                     yield pd.DataFrame({"name": k, "block": [c // block for c in cuts], "seen": float(seen), "part": [flat[c : c + block].astype(np.float64) for c in cuts]})
 
-        trained = picked.select("text").mapInPandas(run, "name string, block int, seen double, part array<double>")
+        trained = rows.select("text").mapInPandas(run, "name string, block int, seen double, part array<double>")
         w = averaged(trained, shapes) or w
     return w
 
