@@ -154,6 +154,13 @@ def test_template_classes_find_fixed_text(spark):
     assert got == {"copies are no template"}
 
 
+def test_template_decides_beside_an_article(spark):
+    page = "<div class=x><p>Every page says this</p></div><div class=lead><p>teaser %d</p></div><article><p>own text %d</p></article>"
+    rows = [(i, f"https://e.com/{i}", page % (i, i)) for i in range(10)] + [(10, "https://one.org/", page % (10, 10))]
+    got = {r.page_id: r.text for r in templates.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"teaser {i}\n\nown text {i}" for i in range(10)} | {10: "own text 10"}
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])

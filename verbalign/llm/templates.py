@@ -15,9 +15,11 @@ the main text, cut into blocks at block-level tags.
 Occurrence vectors are sums over pages of a keyed hash of the page times the
 count, so that classes come from one group-by with map-side combining and a host
 with a third of all pages is no larger a group than its templates; what stands
-on over ``SUPPORT`` of its pages is no more than a page holds. Inside an article
-or main element nothing counts as fixed, nor where a page would keep no text:
-copies of one page are not a template.
+on over ``SUPPORT`` of its pages is no more than a page holds. The template
+decides the slots outside of article and main elements also on pages that have
+them; without a template such a page's main text is what the elements hold.
+Inside them nothing counts as fixed, nor where a page would keep no text: copies
+of one page are not a template.
 
 Defined results: a line break is white space inside its block; null or empty html gives an empty text; a page without a host
 is its own host ''; a host with fewer than ``MIN_PAGES`` pages has no template,
@@ -192,16 +194,19 @@ def blocks_of(source: str, fixed: frozenset[int] = frozenset()) -> list[str]:
     """The main text's blocks: slots outside of furniture, without the template's fixed text."""
     _, runs = parsed(source)
     runs = [r for r in runs if not r.furniture]
-    if any(r.article and r.text.strip() for r in runs):
+    if not fixed and any(r.article and r.text.strip() for r in runs):
         runs = [r for r in runs if r.article]
-        fixed = frozenset()
-    if fixed and all(key64(f"{r.path}>{SPACE.sub(' ', r.text).strip()}") in fixed for r in runs if r.text.strip()):
+
+    def is_fixed(r: Run) -> bool:
+        return not r.article and bool(r.text.strip()) and key64(f"{r.path}>{SPACE.sub(' ', r.text).strip()}") in fixed
+
+    if fixed and all(is_fixed(r) for r in runs if r.text.strip()):
         fixed = frozenset()
     out: list[list] = []
     for r in runs:
         if not out or out[-1][0] != r.block:
             out.append([r.block, []])
-        if not (fixed and r.text.strip() and key64(f"{r.path}>{SPACE.sub(' ', r.text).strip()}") in fixed):
+        if not (fixed and is_fixed(r)):
             out[-1][1].append(r.text)
     texts = (re.sub(r"\s+", " ", "".join(parts)).strip() for _, parts in out)
     return [t for t in texts if t]
