@@ -187,6 +187,13 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymise(docs(spark, [])).collect() == []
 
 
+def test_long_secrets_go_whole(spark):
+    value = "ab1_" * 75
+    [r] = pseudonyms.pseudonymise(docs(spark, [f"token={value}"])).collect()
+    new = r.text.removeprefix("token=")
+    assert len(new) == 300 and new[128:] != value[128:] and r.n_values == 1
+
+
 def test_permutation_is_one_to_one(spark):
     """All 10,000 texts of four digits have different pseudonyms of four digits."""
     from pyspark.sql import functions as F
