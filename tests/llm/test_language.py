@@ -194,6 +194,14 @@ def test_long_secrets_go_whole(spark):
     assert len(new) == 300 and new[128:] != value[128:] and r.n_values == 1
 
 
+def test_marked_phones_have_any_area(spark):
+    texts = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(132) 555-1352", "+1 017 555-7713", "017-555-7713", "+1 (578) 555-6437"]
+    got = [(r.text, r.n_values) for r in sorted(pseudonyms.pseudonymise(docs(spark, texts)).collect(), key=lambda r: r.doc_id)]
+    assert [n for _, n in got] == [1, 1, 1, 1, 0, 1] and got[4][0] == texts[4]
+    assert all(a != b and [c.isdigit() for c in a] == [c.isdigit() for c in b] for (a, _), b in zip(got, texts) if b != texts[4])
+    assert got[1][0].endswith(got[2][0]) and got[0][0][4] in "01" and got[5][0][4] in "23456789"
+
+
 def test_permutation_is_one_to_one(spark):
     """All 10,000 texts of four digits have different pseudonyms of four digits."""
     from pyspark.sql import functions as F
