@@ -71,20 +71,53 @@ def test_packing(spark, texts):
     d = docs(spark, texts).drop("source")
     d = d.selectExpr("*", "case when doc_id % 3 = 0 then 'big' when doc_id % 7 = 0 then null else 'small' end as source")
     check(packing.pack(d).collect(), texts)
-    check(packing.pack(d, window=256, quantum=32, weights={"big": 3.0, "small": 1.0}).collect(), texts, 256)
+    check(packing.pack(d, window=256, block=1000, weights={"big": 3.0, "small": 1.0, "none": 2.0}).collect(), texts, 256)
     assert packing.pack(d.limit(0)).collect() == []
 
 
-def test_mixture_is_kept(spark):
-    d = docs(spark, ["alpha beta gamma " * 400] * 12).drop("source").selectExpr("*", "case when doc_id < 9 then 'a' else 'b' end as source")
-    rows = packing.pack(d).collect()
+def test_packing_of_odd_rows(spark):
+    rows = [(None, "a b", None), (None, "a b", None), (2**60 + 1, None, "x"), (2**60 + 1, "", "x"), (5, "c", "y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as n", "2 as lo", "3 as part")
+    got = packing.pack(d).collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in got) == sorted([(0, 3), (0, 3), (2**60 + 1, 1), (2**60 + 1, 1), (5, 2)])
+
+
+def deviations(rows, weight):
     share = {}
     for r in rows:
-        share.setdefault(r.sequence_id, {}).setdefault(r.source, 0)
-        share[r.sequence_id][r.source] += r.length
-    full = [s for s in share.values() if sum(s.values()) == 2048]
-    assert len(full) > 3 and all(abs(s.get("a", 0) / 2048 - 0.75) <= 0.26 for s in full)
-    assert abs(sum(s.get("a", 0) for s in full) / (2048 * len(full)) - 0.75) < 0.08
+        own = share.setdefault(r.sequence_id, {})
+        own[r.source] = own.get(r.source, 0) + r.length
+    full = [s for k, s in share.items() if k < max(share)]
+    return [sum(abs(s.get(x, 0) / 2048 - w) for x, w in weight.items()) for s in full]
+
+
+@pytest.mark.parametrize("sources", [2, 20, 200])
+def test_every_window_holds_the_mixture(spark, sources):
+    d = docs(spark, [f"alpha beta {i} gamma " * (20 + i % 37) for i in range(600)]).drop("source").selectExpr("*", f"cast(doc_id % {sources} as string) as source")
+    rows = packing.pack(d, block=30_000).collect()
+    total = sum(r.length for r in rows)
+    weight = {}
+    for r in rows:
+        weight[r.source] = weight.get(r.source, 0) + r.length / total
+    got = deviations(rows, weight)
+    assert len(got) > 20 and sum(got) / len(got) < 0.1
+
+
+def test_given_weights_hold_until_a_queue_ends(spark):
+    d = docs(spark, ["alpha beta gamma " * 400] * 40).drop("source").selectExpr("*", "case when doc_id < 10 then 'a' when doc_id < 30 then 'b' else 'c' end as source")
+    rows = packing.pack(d, weights={"a": 1.0, "b": 3.0}, block=5000).collect()
+    mixed = 20 * 1201 * 4 // 3 // 2048  # windows until b ends
+    assert max(deviations([r for r in rows if r.sequence_id < mixed], {"a": 0.25, "b": 0.75, "c": 0})) < 0.01
+    assert all(r.source == "c" for r in rows if r.sequence_id > 30 * 1201 // 2048)
+
+
+def test_shares_of_a_queue_by_block():
+    clock = packing.Clock(np.array([1000.0, 10.0]), np.array([100.0, 10.0]), 8)
+    for total, w in ((1000, 100.0), (10, 10.0)):
+        parts = [x for first in range(0, total, 300) for x in packing.shares(clock, "s", total, w, first, min(first + 300, total))]
+        got = sorted((lo, hi, b) for p in parts for lo, hi, b in zip(p.lo, p.hi, p.block))
+        assert got[0][0] == 0 and got[-1][1] == total and all(a[1] == b[0] and a[2] <= b[2] for a, b in zip(got, got[1:]))
+        assert all(clock.count(b, total, w) <= lo and hi <= clock.count(b + 1, total, w) for lo, hi, b in got)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 1000, 4097])

@@ -8,7 +8,6 @@ re-read and never a lost result.
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 
@@ -23,8 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name below the shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # single-machine sessions such as tests
-        base = tempfile.mkdtemp(prefix="llm-work-")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"  # one machine: every task sees it
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
@@ -44,6 +45,15 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def id_columns() -> list[Column]:
+    """``doc_id`` for the way through pandas, whose integers know no null: a number and a flag."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
+
+
+def id_again(name: str = "doc_id") -> Column:
+    return F.when(~F.col("no_id"), F.col("id")).alias(name)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

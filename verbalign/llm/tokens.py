@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import id_columns, materialise, text_of
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
@@ -78,11 +78,13 @@ class Encoder:
 
 
 def tokenised(docs: DataFrame, path: str | None = None, batch: int = 400) -> DataFrame:
-    """row_id, part, before, doc_id, source, n (ids with the end), ids (little-endian): a table in the shared folder.
+    """A table in the shared folder, a row for each of ``docs``.
 
-    ``row_id`` tells apart rows that repeat a doc_id; ``part`` is the task that
-    wrote the row and ``before`` the ids it wrote ahead of it. All are fixed once
-    the table is written, so a place in the whole stream needs only a sum per part.
+    row_id, part, before, source_before, id, no_id, source, n (ids with the end),
+    ids (little-endian). ``row_id`` tells apart rows that repeat a doc_id; ``part``
+    is the task that wrote the row, ``before`` the ids it wrote ahead of it and
+    ``source_before`` those of the same source. All are fixed once the table is
+    written, so a place in a whole stream needs only a sum per part.
     """
     path = path or tokenizer_path()
 
@@ -90,18 +92,22 @@ def tokenised(docs: DataFrame, path: str | None = None, batch: int = 400) -> Dat
         from pyspark import TaskContext
 
         part_id = TaskContext.get().partitionId()
-        encoder, at, total = Encoder(path), part_id << 33, 0
+        encoder, at, total, queue = Encoder(path), part_id << 33, 0, {}
         for b in batches:
             for k in range(0, len(b), batch):
                 part = b.iloc[k : k + batch]
                 ids = encoder.encode(list(part.text))
                 n = np.array([len(x) // encoder.dtype.itemsize for x in ids], np.int64)
-                yield pd.DataFrame({"row_id": pd.Series(np.arange(at, at + len(part)), part.index), "part": part_id, "before": pd.Series(total + np.cumsum(n) - n, part.index), "doc_id": part.doc_id.astype("Int64"), "source": part.source, "n": pd.Series(n, part.index), "ids": pd.Series(ids, part.index)})
+                ahead = np.empty(len(part), np.int64)
+                for i, (source, size) in enumerate(zip(part.source, n.tolist())):
+                    ahead[i] = queue.get(source, 0)
+                    queue[source] = ahead[i] + size
+                yield pd.DataFrame({"row_id": np.arange(at, at + len(part)), "part": part_id, "before": total + np.cumsum(n) - n, "source_before": ahead, "id": part.id.to_numpy(), "no_id": part.no_id.to_numpy(), "source": part.source.to_numpy(), "n": n, "ids": ids})
                 at, total = at + len(part), total + n.sum()
 
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", F.coalesce(source, F.lit("")).alias("source"), text_of().alias("text"))
-    return materialise(rows.mapInPandas(run, "row_id long, part long, before long, doc_id long, source string, n long, ids binary"))
+    rows = docs.select(*id_columns(), F.coalesce(source, F.lit("")).alias("source"), text_of().alias("text"))
+    return materialise(rows.mapInPandas(run, "row_id long, part long, before long, source_before long, id long, no_id boolean, source string, n long, ids binary"))
 
 
 def id_type(path: str | None = None) -> np.dtype:
