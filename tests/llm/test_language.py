@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from verbalign.llm import decontaminate, gru_lm, hyperdim, pseudonyms, templates
@@ -64,8 +65,6 @@ def test_lm_trains_on_every_document(spark):
 
 def test_lm_is_a_distribution_and_learns():
     """Probabilities of all words and the unknown one add up to 1; gradients agree with differences; training helps."""
-    import numpy as np
-
     listed = [(b"w%d" % i, 1000 // (i + 1)) for i in range(60)]
     vocab = gru_lm.Vocabulary(listed, sum(c for _, c in listed) + 12, 60 + 12, 12)
     w = vocab.start()
@@ -115,6 +114,63 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(docs(spark, made), bench.limit(0)).collect() == []
 
 
+def leaks_by_brute_force(texts, items):
+    """Every passage scored against every item by the BM25 formula, in plain loops."""
+    out, classes = {}, {}
+    for i, t in items:
+        if n := len(decontaminate.words_of(t or "")):
+            classes.setdefault(max(6, (n - 1).bit_length()), []).append((i, t))
+    for own in classes.values():
+        words = {i: decontaminate.words_of(t) for i, t in own}
+        mean, longest = sum(map(len, words.values())) / len(words), max(map(len, words.values()))
+        df = Counter(t for w in words.values() for t in set(w))
+
+        def impact(t, w):
+            f = w.count(t)
+            return math.log(1 + (len(words) - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean))
+
+        for d, text in enumerate(texts):
+            all_words = decontaminate.words_of(text or "")
+            for start in range(0, max(1, len(all_words) - longest), longest):
+                passage = all_words[start : start + 2 * longest]
+                for i, t in own:
+                    w = words[i]
+                    score = sum(impact(t, w) for t in set(w) & set(passage)) / sum(impact(t, w) for t in set(w))
+                    shares = []
+                    for part in decontaminate.parts_of(t):
+                        n = min(3, len(part))
+                        grams = {tuple(part[k : k + n]) for k in range(len(part) - n + 1)}
+                        has = {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)}
+                        shares.append(len(grams & has) / len(grams) if n else 1.0)
+                    if score >= 0.6 - 1e-9 and min(shares) >= 0.6 and score > out.get((d, i), 0):
+                        out[d, i] = score
+    return out
+
+
+def test_leaks_are_those_of_brute_force_however_items_are_parted(spark):
+    r = random.Random(18)
+    words = [f"t{i}" for i in range(120)] + ["the", "of", "and"] * 30
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, f"{text(r.randint(3, 40)).capitalize()}. {text(r.randint(1, 12))}") for i in range(40)] + [(40, text(90)), (2**60 + 1, text(200)), (None, text(25))]
+    broken = lambda t: " ".join(w for w in t.split() if r.random() < 0.93)
+    made = [f"{text(60)} {broken(t) if i and i % 2 else t} {text(90)}" for i, t in items] + [text(800), "", None]
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as doc_id")
+    want = leaks_by_brute_force(made, items)
+    assert len(want) > 20
+    for chars in (1000, 16_000_000):
+        got = {(x.doc_id, x.item_id): x.score for x in decontaminate.find_leaks(docs(spark, made), bench, index_chars=chars).collect()}
+        assert got == pytest.approx(want)
+        kept = decontaminate.without_leaks(docs(spark, made), bench, index_chars=chars)
+        assert {x.doc_id for x in kept.collect()} == set(range(len(made))) - {d for d, _ in want}
+
+
+def test_repeated_documents_and_items_are_reported_each(spark):
+    item = "What is the tallest of the northern hills? It is called old grey top."
+    rows = spark.createDataFrame([(None, f"so {item} yes"), (2**60 + 1, item), (2**60 + 1, item)], "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as id")
+    got = decontaminate.find_leaks(rows, spark.createDataFrame([(1, item), (1, item), (2, item)], "item_id long, text string")).collect()
+    assert sorted((x.doc_id or 0, x.item_id) for x in got) == sorted([(d, i) for d in (0, 2**60 + 1, 2**60 + 1) for i in (1, 1, 2)])
+
+
 def test_wand_finds_what_scoring_all_finds():
     r = random.Random(9)
     index = decontaminate.Index([(i, " ".join(r.choice("abcdefghijklmnop") for _ in range(12))) for i in range(200)])
@@ -124,8 +180,10 @@ def test_wand_finds_what_scoring_all_finds():
         for t in terms:
             for k, x in zip(index.items[t], index.impacts[t]):
                 want[k] += x
-        got = dict(index.retrieve(terms, 0.5))
-        assert got == pytest.approx({k: x for k, x in want.items() if x >= 0.5 - 1e-9})
+        want = pytest.approx({k: x for k, x in want.items() if x >= 0.5 - 1e-9})
+        assert dict(index.retrieve(terms, 0.5)) == want
+        windows, blocks = index.open_blocks(np.zeros(len(terms), int), np.array(terms, int), 1, 0.5)
+        assert dict(index.retrieve(terms, 0.5, blocks.tolist())) == want
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p>";</script></head><body>

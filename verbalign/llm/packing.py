@@ -148,7 +148,9 @@ def schedule(totals: DataFrame, weights: dict[str, float] | None = None, window:
     sums = out.groupBy("block").agg(F.sum(F.col("hi") - F.col("lo")).alias("size"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     base = sums.select("block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    return out.join(base, "block").groupBy("block").applyInPandas(lambda f: deal(f, window), "source string, lo long, hi long, pos long")
+    # a block's few rows stand for many tokens: blocks are dealt to as many tasks as that asks for
+    dealt = out.join(base, "block").repartition(min(20_000, -(-ahead // 4)), "block")
+    return dealt.groupBy("block").applyInPandas(lambda f: deal(f, window), "source string, lo long, hi long, pos long")
 
 
 def chunked(df: DataFrame, mark: str) -> DataFrame:
