@@ -102,6 +102,68 @@ def test_passages_odd_rows(spark):
     assert recompression.remove_repeats(docs(spark, [])).collect() == []
 
 
+def test_passages_of_rows_that_share_an_id(spark):
+    u, t, other = (" ".join(f"{k}{i}" for i in range(30)) for k in "utx")
+    got = recompression.remove_repeats(docs(spark, [(0, u), (5, t), (7, t), (7, f"{u} {other}"), (2**60 + 1, other), (None, "a")])).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed) for r in got) == [(-1, 1, 0), (0, 30, 0), (5, 30, 0), (7, 30, 30), (7, 60, 30), (2**60 + 1, 30, 30)]
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 512, 4096])
+def test_words_of_a_cancelling_pattern_differ(spark, n):
+    a = thue_morse(n)
+    b = a.translate(str.maketrans("ab", "ba"))
+    names, _ = word_names([f"{a} {b} {a}".encode()])
+    assert names[0] == names[2] != names[1]
+    rest = " ".join(map(str, range(25)))
+    texts = [f"{rest[:20]} {a} {rest}", f"{rest[:20]} {b} {rest}", f"{b} {rest}"]
+    got = {r.doc_id: r.n_removed for r in recompression.remove_repeats(docs(spark, texts)).collect()}
+    assert got == {k: v[1] for k, v in removed(texts).items()}
+
+
+def test_repeats_that_a_task_settles():
+    """Batches of a few words: the same passage is met again and again by one task, in any order of ids."""
+    r = random.Random(3)
+    passage = " ".join(r.choice(WORDS) for _ in range(28))
+    texts = [f"{' '.join(r.choice(WORDS) for _ in range(9))} {passage}" for _ in range(40)]
+    order = list(enumerate(texts))
+    r.shuffle(order)
+    before = recompression.BATCH_BYTES
+    try:
+        recompression.BATCH_BYTES = 300
+        rows = [(i, 1, t) for i, t in order]
+        got = {k: [] for k in range(40)}
+        import pandas as pd
+
+        f = pd.DataFrame(rows, columns=["doc", "th", "text"])
+        f["spans"] = [[{"a": 0, "b": 100}]] * 40
+        made = pd.concat(list(_function_of(recompression.windows_of)(iter([f]))))
+    finally:
+        recompression.BATCH_BYTES = before
+    first = made[~made.settled].groupby(["h1", "h2"])[["doc", "a"]].apply(lambda g: min(zip(g.doc, g.a)))
+    for h1, h2, settled, doc, a, b in made[["h1", "h2", "settled", "doc", "a", "b"]].itertuples(index=False):
+        if settled or (doc, a) > first[h1, h2]:
+            got[doc] += range(a, b + 1)
+    for i, t in enumerate(texts):
+        w = t.split()
+        want = [k for k in range(len(w) - 19) if any(w[k : k + 20] == x[m : m + 20] for x in map(str.split, texts[:i]) for m in range(len(x) - 19))]
+        assert sorted(got[i]) == want
+    assert len(made[~made.settled]) < 420
+
+
+def _function_of(make):
+    """The function that ``make`` hands to mapInPandas."""
+
+    class Catch:
+        def mapInPandas(self, f, schema):
+            return f
+
+    return make(Catch(), 20)
+
+
 def near_classes(corpus, similarity=0.8):
     sets = []
     for t in corpus:

@@ -58,6 +58,29 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+HOT_GROUPS = 50_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of ``rows`` with ``groups`` (one row for each key, ``size``: its rows), however large a group is.
+
+    A group of over one ``HOT_GROUPS``-th of all rows is hot, so there are fewer
+    than HOT_GROUPS such groups, at most: these are sent to the rows; all other
+    rows meet their groups by shuffle. A hot row goes through that under a key of
+    its own.
+    """
+    share = max(1000, rows.count() // HOT_GROUPS)
+    others = [c for c in groups.columns if c != key]
+    hot = groups.where(F.col(size) > share).select(F.col(key).alias("__hot"), F.struct(*others).alias("__mine"))
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").drop("__hot")
+    spread = F.when(F.col("__mine").isNotNull(), F.monotonically_increasing_id())
+    met = met.withColumn("__spread", F.coalesce(spread, F.lit(-1).cast("long")))
+    cold = groups.where(F.col(size) <= share).select(F.col(key).alias("__key"), F.lit(-1).cast("long").alias("__none"), F.struct(*others).alias("__theirs"))
+    both = met.join(cold, (F.col(key) == F.col("__key")) & (F.col("__spread") == F.col("__none")), "left")
+    found = F.coalesce("__mine", "__theirs")
+    return both.where(found.isNotNull()).select(*rows.columns, *[found[c].alias(c) for c in others])
+
+
 def running_offsets(df: DataFrame, group: list[str], block: str, order: list, size: str, out: str) -> DataFrame:
     """Exclusive running sum of ``size`` over ``(block, order)`` within ``group``.
 

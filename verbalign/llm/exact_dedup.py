@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import join_groups, materialise, text_of
 
 CHUNK_MIN, CHUNK_MAX = 400, 4000
 #: A cut follows the first such ending after CHUNK_MIN characters; without one, CHUNK_MAX holds.
@@ -70,7 +70,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     clashes = materialise(shared_fingerprints(docs))
     r = recipes(docs, None if clashes.isEmpty() else clashes)
     groups = r.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    out = r.join(groups, "recipe")
+    out = join_groups(r, groups, "recipe", "group_size")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 
 import numpy as np
+import xxhash
 
 _SPACED = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -19,12 +20,14 @@ def words_of(text: str) -> list[bytes]:
     return spaced(text).split()
 
 
-#: Odd multipliers of 64-bit arithmetic, any will do.
-BYTE_BASE = 0xA24BAED4963EE407
 U = np.uint64
+#: An odd multiplier of 64-bit arithmetic, any will do.
+ODD = U(0xA24BAED4963EE407)
+#: Words of more bytes are named one at a time.
+LONG = 256
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = np.random.default_rng(64).integers(0, 2**64, 256, U)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -54,15 +57,44 @@ def digest(sums: np.ndarray, down: np.ndarray, lo: np.ndarray, hi: np.ndarray) -
     return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(U))
 
 
-def word_names(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit names of all words between ASCII white space, and each blob's number of words.
-
-    Names are digests of the bytes, made for a whole batch at once.
-    """
-    data = np.frombuffer(b" ".join(blobs) + b" ", np.uint8)
+def _names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit digests of words: eight bytes at a time go through a finaliser, so no pattern of letters cancels out."""
+    size = ends - starts
+    eights = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))  # the eight bytes from every place on
+    h = mix(size.astype(U) * ODD + U(seed))
+    mine = np.flatnonzero(size <= LONG)
+    at = 0
+    while len(mine):
+        left = size[mine] - at
+        chunk = eights[starts[mine] + at] & _KEEP[np.minimum(left, 8)]
+        h[mine] = mix((h[mine] ^ chunk) * ODD)
+        at += 8
+        mine = mine[left > 8]
+    for k in np.flatnonzero(size > LONG):
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]], seed)
+    return h
+
+
+def word_names(blobs: list[bytes], seeds: tuple[int, ...] = (1,)) -> tuple[np.ndarray, ...]:
+    """64-bit names of all words between ASCII white space, for each seed, and each blob's number of words."""
+    data = np.frombuffer(b" ".join(blobs) + b" " * 9, np.uint8)
     space = _SPACE[data]
     starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
     ends = np.flatnonzero(space & np.r_[False, ~space[:-1]])
     ends_of = np.cumsum([len(b) + 1 for b in blobs])
     counts = np.diff(np.searchsorted(starts, np.r_[0, ends_of])) if blobs else np.empty(0, np.int64)
-    return digest(*prefix_sums(_BYTE[data], BYTE_BASE), starts, ends), counts
+    return *(_names(data, starts, ends, seed) for seed in seeds), counts
+
+
+def stretch_names(names: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """64-bit names of the ``length`` symbols from each place ``at`` on: pairs of pairs are named, and those put together."""
+    out, span, off, level = mix(np.full(len(at), length, U) + U(seed)), 1, 0, names
+    while span <= length:
+        if length & span:
+            out = mix((out ^ level[at + off]) * ODD)
+            off += span
+        span *= 2
+        if span <= length:
+            half = span // 2
+            level = mix(level * ODD + mix(np.r_[level[half:], np.zeros(min(half, len(level)), U)] + U(span)))
+    return out
