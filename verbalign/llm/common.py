@@ -75,7 +75,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     met = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").drop("__hot")
     spread = F.when(F.col("__mine").isNotNull(), F.monotonically_increasing_id())
     met = met.withColumn("__spread", F.coalesce(spread, F.lit(-1).cast("long")))
-    cold = groups.where(F.col(size) <= share).select(F.col(key).alias("__key"), F.lit(-1).cast("long").alias("__none"), F.struct(*others).alias("__theirs"))
+    # of -1 for all, but no literal: both columns deal the rows
+    cold = groups.where(F.col(size) <= share).select(F.col(key).alias("__key"), F.least(F.col(size), F.lit(-1)).alias("__none"), F.struct(*others).alias("__theirs"))
     both = met.join(cold, (F.col(key) == F.col("__key")) & (F.col("__spread") == F.col("__none")), "left")
     found = F.coalesce("__mine", "__theirs")
     return both.where(found.isNotNull()).select(*rows.columns, *[found[c].alias(c) for c in others])

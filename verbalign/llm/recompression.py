@@ -273,14 +273,14 @@ def windows_of(docs: DataFrame, window: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc, th (60 bits of the text's SHA-256), id, no_id, text. A row is known by doc and th: rows that agree in both are alike."""
+    """doc, th (64 bits of the text), id, no_id, text. A row is known by doc and th: rows that agree in both are alike."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), *id_columns(), text_of().alias("text"))
-    return rows.withColumn("sha", F.sha2("text", 256)).withColumn("th", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
+    return rows.withColumn("th", F.xxhash64("text"))
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
     """doc, th of rows whose whole text a smaller doc_id has. All their windows start earlier. A table."""
-    sha = rows.select("doc", "th", "sha")
+    sha = rows.select("doc", "th", F.sha2("text", 256).alias("sha"))
     first = sha.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("size")).where("first < last")
     return materialise(join_groups(sha, first.select("sha", "first", "size"), "sha", "size").where("doc > first").select("doc", "th").distinct())
 
