@@ -100,7 +100,7 @@ def test_summary_and_review(spark):
     assert [r.id for r in review.review_sort(rows, "score").collect()] == [2, 1]
     assert review.csv_rows(rows).columns[1:] == review.CSV_COLUMNS
     html = [r.h for r in rows.orderBy("id").select(review.row_html().alias("h")).collect()]
-    assert "data-status='OK'" in html[0] and "(no subtitle)" in html[1]
+    assert 'data-status="OK"' in html[0] and "<i>none</i>" in html[1] and html[0].startswith("<li ") and html[0].endswith("</li>")
     with pytest.raises(ValueError):
         CompareParams(threshold=1.5)
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from verbalign import cli
 from verbalign.operators import compare as C
 from verbalign.plans import pipeline
+from verbalign.sources import adapters, sinks
 from verbalign.sources import segments as S
-from verbalign.sources import sinks
 from verbalign.streaming import payloads
 
 
@@ -58,19 +58,21 @@ def test_reuse(spark, tmp_path):
 
 def test_end_to_end(spark, tmp_path):
     media = spark.createDataFrame([("/m/a.mp4",), ("/m/b.mp4",)], "path string")
-    rows, _ = pipeline.run(media)
+    rows, _ = pipeline.run(media, adapters.FakeRecogniser, adapters.FakeReader)
     rows = spark.createDataFrame(rows.collect(), rows.schema)  # the plan runs once
     summary = spark.createDataFrame(C.summarize(rows, media.select(F.col("path").alias("media_id"))).collect())
     assert {r.media_id for r in summary.where("flagged_count = 0").collect()} == {"/m/a.mp4", "/m/b.mp4"}
     page = sinks.write_page(rows, summary, "/m/a.mp4", tmp_path / "a.html").read_text()
-    assert "data-status='OK'" in page
+    assert 'data-status="OK"' in page and "/m/a.mp4" in page and "@rows@" not in page and page.count("<li ") == rows.where("media_id = '/m/a.mp4'").count()
+    sinks.write_pages(rows, summary, str(tmp_path / "pages"))
+    assert sorted(f.name for f in (tmp_path / "pages").iterdir()) == ["a.html", "b.html"]
     with pytest.raises(ValueError):
         sinks.render_page(rows, summary, "/m/a.mp4", asset_mode="x")
     sinks.write_csv_table(rows, str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
     assert back.count() == rows.count()
     sinks.write_visible_csv(rows, str(tmp_path / "vis"))
-    said = pipeline.speech(media)
+    said = pipeline.speech(media, adapters.FakeRecogniser)
     meta = media.select(F.col("path").alias("media_id"), F.lit("f").alias("input_file"), F.lit("en").alias("language"), F.lit("m").alias("model"))
     paths = sinks.write_transcription(said, meta, "/m/a.mp4", tmp_path / "t")
     assert json.loads(paths["json"].read_text())["segments"] and paths["srt"].read_text().startswith("1\n")
@@ -89,7 +91,37 @@ def test_commands(spark, tmp_path):
     assert cli.main(["compare", str(tmp_path / "a.json"), str(tmp_path / "s.json"), "--threshold", "2"]) == 2
     assert cli.main(["run", str(tmp_path / "nowhere")]) == 2
     (tmp_path / "v.mp4").write_text("x")
-    assert cli.main(["run", str(tmp_path / "v.mp4"), "--output-dir", str(tmp_path / "r")]) == 0
+    assert cli.main(["run", str(tmp_path / "v.mp4"), "--output-dir", str(tmp_path / "r")]) == 2  # no engine, no words
+    assert cli.main(["run", str(tmp_path / "v.mp4"), "--recogniser", "tests.engines:Nothing"]) == 2
+
+
+def test_compare_of_folders(spark, tmp_path):
+    for item in ("one", "two", "three"):
+        for side, name, row in (("said", "transcription.json", {"id": 1, "start": 0, "end": 2, "text": item}), ("shown", "ocr_results.json", {"id": 1, "timestamp": 1, "subtitle_text": item})):
+            (tmp_path / side / item).mkdir(parents=True)
+            (tmp_path / side / item / name).write_text("{broken" if (side, item) == ("shown", "three") else json.dumps({"metadata": {}, "segments": [row, {**row, "id": 2, "start": 5, "end": 6, "timestamp": 5.5}]}))
+    args = ["compare", str(tmp_path / "said"), str(tmp_path / "shown"), "--output-dir", str(tmp_path / "out")]
+    assert cli.main(args) == 2
+    assert cli.main([*args, "--continue-on-error"]) == 1
+    rows = spark.read.parquet(str(tmp_path / "out/rows")).collect()
+    assert sorted((r.audio_text, r.subtitle_text, r.status) for r in rows) == [("one", "one", "OK")] * 2 + [("two", "two", "OK")] * 2
+    failures = json.loads((tmp_path / "out/run_manifest.json").read_text())["metadata"]["failures"]
+    assert len(failures) == 1 and failures[0]["media_id"].endswith("three/transcription.json")
+
+
+def test_run_of_a_folder(spark, tmp_path):
+    for n in ("a.mp4", "b.mp4", "broken.mp4"):
+        (tmp_path / n).write_text("x")
+    out = str(tmp_path / "out")
+    args = ["run", str(tmp_path), "--output-dir", out, "--recogniser", "tests.engines:Careful", "--reader", "tests.engines:Reader"]
+    assert cli.main(args) == 2
+    assert cli.main([*args, "--continue-on-error"]) == 1
+    rows = spark.read.parquet(f"{out}/rows")
+    assert {r.media_id.rsplit("/", 1)[-1] for r in rows.collect()} == {"a.mp4", "b.mp4"}
+    assert len(list((tmp_path / "out/pages").glob("*.html"))) == 2
+    # a second run takes both stages from the first: it needs no engine
+    assert cli.main(["run", str(tmp_path), "--output-dir", out, "--resume"]) == 0
+    assert cli.main(["run", str(tmp_path), "--output-dir", out, "--resume", "--language", "hi"]) == 2
 
 
 def test_stream(spark, tmp_path):

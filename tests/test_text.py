@@ -50,7 +50,7 @@ def test_names(spark):
 
 
 def test_scores(spark):
-    assert column(spark, T.score_color, [0.95, 0.85, 0.7, 0.1], "double") == ["#1a7f37", "#2da44e", "#9a6700", "#cf222e"]
+    assert column(spark, T.score_level, [0.95, 0.85, 0.7, 0.1], "double") == ["high", "good", "fair", "low"]
     assert column(spark, T.score_percent, [1.5, 0.999, -1.0], "double") == [100, 99, 0]
     assert column(spark, T.html_escape, ["<a href=\"x\">&'"]) == ["&lt;a href=&quot;x&quot;&gt;&amp;&#x27;"]
 
@@ -63,3 +63,14 @@ def test_languages(spark):
     assert languages.dimension(spark).count() == 5
     with pytest.raises(ValueError):
         languages.spec("xx")
+
+
+def test_filters_evaluate_a_text_once(spark):
+    """An expression copied into a filter would show its patterns there again."""
+    from verbalign.operators import ocr_select, segments
+
+    raw = spark.createDataFrame([], "media_id string, seq long, start double, end double, text string, avg_logprob double")
+    read = spark.createDataFrame([], "k long, ordinal int, variant string, psm int, text string, confidence double")
+    for d, most in ((segments.filter_noise(segments.build(raw)), 4), (segments.render_srt(segments.build(raw)), 4), (ocr_select.best_variant(read, "k"), 12)):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace") + plan.count("RegExpReplace") <= most

@@ -29,6 +29,11 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+def once(c: Column) -> Column:
+    """``c``, which the optimizer then neither copies into a filter nor evaluates for each use: it counts as not deterministic."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def strip(c: Column) -> Column:
     """Python's strip: white space of any script at both ends."""
     return F.regexp_replace(c, rf"^{WHITE}+|{WHITE}+$", "")
@@ -51,27 +56,34 @@ def normalize_composed(c: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    """Comparable text. Composition is a kernel call; without marks to compose it changes nothing, so ASCII skips its cost."""
-    return normalize_composed(_nfc(F.coalesce(c, F.lit(""))))
+    """Comparable text. Below U+0300 all text is composed; the kernel gets the other texts alone, and nulls for these."""
+    return normalize_composed(F.coalesce(_nfc(F.when(c.rlike(r"[^\x{0}-\x{2FF}]"), c)), c))
 
 
 def script_ratio(c: Column, code: str) -> Column:
     """Letters of the language's scripts among all letters; 0 without letters."""
-    letters = F.regexp_replace(F.coalesce(c, F.lit("")), f"[^{ALPHA}]", "")
-    inside = F.regexp_replace(letters, f"[^{languages.range_class(code)}]", "")
+    letters = F.regexp_replace(F.coalesce(c, F.lit("")), f"[^{ALPHA}]+", "")
+    inside = F.regexp_replace(letters, f"[^{languages.range_class(code)}]+", "")
     return F.coalesce(F.try_divide(F.length(inside).cast("double"), F.length(letters).cast("double")), F.lit(0.0))
 
 
+def garbage(s: Column, script: Column) -> Column:
+    """Of stripped text and its script ratio: shorter than 2, or under 40 % letters and digits, or under 25 % of the script."""
+    alnum = F.length(F.regexp_replace(s, rf"[^{ALPHA}\p{{N}}]+", ""))
+    return (F.length(s) < 2) | (alnum < 0.4 * F.length(s)) | (script < 0.25)
+
+
 def is_garbage(c: Column, code: str = languages.MULTI) -> Column:
-    """Shorter than 2, or under 40 % letters and digits, or under 25 % of the script."""
     s = strip(F.coalesce(c, F.lit("")))
-    alnum = F.length(F.regexp_replace(s, rf"[^{ALPHA}\p{{N}}]", ""))
-    return (F.length(s) < 2) | (alnum < 0.4 * F.length(s)) | (script_ratio(s, code) < 0.25)
+    return garbage(s, script_ratio(s, code))
 
 
 def is_loop(c: Column) -> Column:
-    """A stock phrase, a period of 2 to 5 characters, few distinct words, or a doubled half."""
-    s = strip(F.coalesce(c, F.lit("")))
+    return loops(strip(F.coalesce(c, F.lit(""))))
+
+
+def loops(s: Column) -> Column:
+    """Of stripped text: a stock phrase, a period of 2 to 5 characters, few distinct words, or a doubled half."""
     n, low = F.length(s), F.lower(s)
     stock = F.lit(False)
     for phrase in STOCK_PHRASES:
@@ -116,8 +128,15 @@ def elapsed(seconds: Column) -> Column:
     return F.when(seconds < 60, F.format_string("%.1fs", seconds)).otherwise(F.format_string("%dm %ds", F.floor(s / 60), s % 60))
 
 
-def score_color(score: Column) -> Column:
-    return F.when(score >= 0.9, "#1a7f37").when(score >= 0.8, "#2da44e").when(score >= 0.65, "#9a6700").otherwise("#cf222e")
+#: Levels of a score and the names under which a page styles them.
+SCORE_LEVELS = ((0.9, "high"), (0.8, "good"), (0.65, "fair"), (0.0, "low"))
+
+
+def score_level(score: Column) -> Column:
+    out = None
+    for least, name in SCORE_LEVELS[:-1]:
+        out = F.when(score >= least, name) if out is None else out.when(score >= least, name)
+    return out.otherwise(SCORE_LEVELS[-1][1])
 
 
 def score_percent(score: Column) -> Column:
@@ -145,6 +164,7 @@ def url_host(c: Column) -> Column:
 
 #: Hosts of one video site.
 VIDEO_HOSTS = ("youtube.com", "youtu.be", "www.youtube.com", "m.youtube.com")
+FETCHED_HOSTS = frozenset(VIDEO_HOSTS)  # pages of these hosts are fetched by a tool, not read as media
 
 
 def is_video_host(c: Column) -> Column:

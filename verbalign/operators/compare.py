@@ -16,7 +16,9 @@ SUMMARY = ["segment_count", "flagged_count", "avg_score", "missing_subtitle_coun
 
 def scored(rows: DataFrame, profile: str = "indel") -> DataFrame:
     """``rows`` with ``m``, the METRICS of a_norm and c_norm. Each different pair is scored once."""
-    pairs = rows.select("a_norm", "c_norm").distinct()
+    # a pair costs milliseconds, so pairs are dealt evenly, however few they are
+    cores = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = rows.select("a_norm", "c_norm").distinct().repartition(cores)
     pairs = pairs.select("a_norm", "c_norm", metrics_udf(profile)("a_norm", "c_norm").alias("m"))
     return rows.join(pairs, ["a_norm", "c_norm"])
 

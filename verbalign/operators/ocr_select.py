@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import MULTI
 from ..functions.similarity import metrics_udf
-from ..functions.text import casefold, is_garbage, normalize_text, script_ratio, strip
+from ..functions.text import casefold, garbage, normalize_text, once, script_ratio, strip
 from ..params import EFFORTS, check_crop_ratio, check_effort
 
 #: Fixed values of the word filter and the scores.
@@ -39,12 +39,15 @@ def best_variant(readings: DataFrame, *keys: str, language: str = MULTI) -> Data
 
     Trying ends at the first sure reading; the best up to there is taken.
     """
-    r = readings.withColumn("text", strip(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\s+", " ")))
-    r = r.where((F.col("text") != "") & ~is_garbage(F.col("text"), language)).withColumn("script", script_ratio(F.col("text"), language))
-    r = r.withColumn("value", F.coalesce("confidence", F.lit(0.01)) + F.least(F.length("text"), F.lit(80)) / 400 + F.col("script") * 0.15)
+    r = readings.withColumn("text", once(strip(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\s+", " "))))
+    r = r.withColumn("script", once(script_ratio(F.col("text"), language)))
+    r = r.where((F.col("text") != "") & ~garbage(F.col("text"), F.col("script")))
+    value = F.coalesce("confidence", F.lit(0.01)) + F.least(F.length("text"), F.lit(80)) / 400 + F.col("script") * 0.15
     sure = F.when((F.col("confidence") > SURE) & (F.col("script") > SURE_SCRIPT), F.col("ordinal"))
-    r = r.withColumn("stop", F.min(sure).over(Window.partitionBy(*keys))).where("stop is null or ordinal <= stop")
-    best = r.groupBy(*keys).agg(F.max_by(F.struct("text", "confidence", "variant", "psm"), F.struct("value", -F.col("ordinal"))).alias("b"))
+    # a key has as many readings as its effort tries: a few
+    tried = F.struct(value.alias("value"), (-F.col("ordinal")).alias("turn"), "text", "confidence", "variant", "psm")
+    r = r.groupBy(*keys).agg(F.collect_list(tried).alias("tried"), F.min(sure).alias("stop"))
+    best = r.select(*keys, F.array_max(F.filter("tried", lambda t: F.col("stop").isNull() | (-t["turn"] <= F.col("stop")))).alias("b"))
     return best.select(*keys, "b.text", "b.confidence", F.concat("b.variant", F.lit("/psm"), F.col("b.psm").cast("string")).alias("ocr_variant"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_loop, srt_timestamp, strip
+from ..functions.text import WHITE, loops, once, srt_timestamp, strip
 
 #: Fixed values.
 SRT_GAP, SRT_SHORTEST = 0.1, 0.3
@@ -16,8 +16,9 @@ LOW_CONFIDENCE, LOW_LENGTH = -1.5, 10
 def build(raw: DataFrame) -> DataFrame:
     """Recogniser output (media_id, seq, start, end, text, avg_logprob) to segments; loops and weak short texts are blanked."""
     conf = F.round("avg_logprob", 4)
-    text = F.when(is_loop(F.col("text")), "").otherwise(strip(F.coalesce("text", F.lit(""))))
-    text = F.when((conf < LOW_CONFIDENCE) & (F.length(text) < LOW_LENGTH), "").otherwise(text)
+    raw = raw.withColumn("said", once(strip(F.coalesce("text", F.lit("")))))
+    weak = (conf < LOW_CONFIDENCE) & (F.length("said") < LOW_LENGTH)
+    text = once(F.when(loops(F.col("said")) | F.coalesce(weak, F.lit(False)), "").otherwise(F.col("said")))
     start, end = F.round("start", 3), F.round("end", 3)
     return raw.select("media_id", "seq", number().alias("id"), start.alias("start"), end.alias("end"), F.round((start + end) / 2, 3).alias("midpoint"), text.alias("text"), conf.alias("confidence"))
 
@@ -34,16 +35,17 @@ def filter_noise(segments: DataFrame) -> DataFrame:
 
 def fix_overlaps(segments: DataFrame) -> DataFrame:
     """Segments for a subtitle file: in order of start, an end at least SRT_GAP before the next start."""
-    kept = segments.where((strip(F.col("text")) != "") & (F.col("end") - F.col("start") >= SRT_SHORTEST))
+    kept = segments.where(F.col("text").rlike(rf"[^{WHITE[1:]}") & (F.col("end") - F.col("start") >= SRT_SHORTEST))
     w = Window.partitionBy("media_id").orderBy("start", "seq")
     nxt, end = F.lead("start").over(w), F.round("end", 3)
     fixed = F.when(nxt < end + SRT_GAP, F.round(nxt - SRT_GAP, 3)).otherwise(end)
     return kept.select("media_id", "seq", F.row_number().over(w).alias("id"), F.round("start", 3).alias("start"), fixed.alias("end"), "text")
 
 
-def render_srt(segments: DataFrame) -> DataFrame:
-    """media_id, srt: one subtitle file's text per item."""
+def render_srt(segments: DataFrame, lenient: bool = False) -> DataFrame:
+    """media_id, srt: one subtitle file's text per item. A negative time is an error; ``lenient``: such segments are left out."""
     f = fix_overlaps(segments)
+    f = f.where("start >= 0 and end >= 0") if lenient else f
     block = F.concat(F.col("id").cast("string"), F.lit("\n"), srt_timestamp(F.col("start")), F.lit(" --> "), srt_timestamp(F.col("end")), F.lit("\n"), F.col("text"))
     blocks = f.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("id", block.alias("block")))).alias("b"))
     return blocks.select("media_id", F.concat(F.array_join("b.block", "\n\n"), F.lit("\n")).alias("srt"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import languages
 from ..functions import text as T
-from ..functions.similarity import metrics_udf
+from ..functions.similarity import METRICS, metrics_udf
 from ..operators import align as A
 from ..operators import compare as C
 from ..operators import context, ocr_select, review, segments
 from ..params import CompareParams
+from ..sources import segments as sources
 from . import fixtures as X
 from . import sql as S
 
@@ -85,10 +86,68 @@ def url_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.is_url(u).alias("url_like"), T.url_host(u).alias("host"), T.is_video_host(u).alias("video_host"))
 
 
-@query("select page_id, length(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')) as n, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')) as digest from pages")
+@query("select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') as escaped from pages")
 def html_escape(spark, sf_dir):
-    e = T.html_escape(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", F.length(e).cast("long").alias("n"), F.md5(e.cast("binary")).alias("digest"))
+    return table(spark, sf_dir, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
+
+
+@query("""select page_id, case page_id % 3 when 0 then 'v' || page_id when 1 then 's' || page_id end as video from pages""")
+def video_ids(spark, sf_dir):
+    """Of watch pages, of short links, and of other pages."""
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 3
+    url = F.when(k == 0, F.concat(F.lit("https://www.YouTube.com/watch?t=1&v=v"), n)).when(k == 1, F.concat(F.lit("https://youtu.be/s"), n, F.lit("?t=3"))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", T.video_id(url).alias("video"))
+
+
+@query(f"""with p as (select page_id, case when page_id % 2 = 0 then url else '/media/Clip: ' || page_id || '.x.mp4' end as value from pages)
+select page_id, case when page_id % 2 = 0 then {S.stable_name('value')} else {S.safe_name(S.path_stem('value'))} end as stem from p""")
+def output_stems(spark, sf_dir):
+    value = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("/media/Clip: "), F.col("page_id").cast("string"), F.lit(".x.mp4")))
+    return table(spark, sf_dir, "pages").select("page_id", T.output_stem(value).alias("stem"))
+
+
+@query(f"""{DOC}, x as (select media, seq, (media * 7 + seq * 13) % 131 / 100.0::double as x from c) select media as doc_id, seq,
+  cast(cast(round_even(x * 100, 0) as int) as varchar) || '%' as share, cast(floor(least(x, 1.0) * 100) as int) as width,
+  case when x >= 0.9 then 'high' when x >= 0.8 then 'good' when x >= 0.65 then 'fair' else 'low' end as level,
+  case when x * 100 < 60 then printf('%.1fs', x * 100) else printf('%dm %ds', cast(floor(x * 100) as bigint) // 60, cast(floor(x * 100) as bigint) % 60) end as took from x""")
+def score_labels(spark, sf_dir):
+    x = (F.col("media") * 7 + F.col("seq") * 13) % 131 / 100
+    return document_captions(spark, sf_dir).select(F.col("media").alias("doc_id"), "seq", T.percent(x).alias("share"), T.score_percent(x).alias("width"), T.score_level(x).alias("level"), T.elapsed(x * 100).alias("took"))
+
+
+FIELDS = f"""{DOC}, f as (select media, seq, (media + seq) % 5 as kind, ms / 1000.0::double as s, (ms + len_ms) / 1000.0::double as e, text from c)"""
+
+
+@query(f"""{FIELDS} select media as doc_id, seq, case kind when 0 then s + 9 when 1 then s + 7 when 2 then s + 5 else (s + e) / 2 end as ts,
+  case kind when 0 then '' when 1 then 'other' else text end as text, case when kind <> 4 then round(s, 3) end as "start", case kind when 3 then round((s + e) / 2, 3) when 4 then null else round(e, 3) end as "end" from f""")
+def field_choice(spark, sf_dir):
+    """The time, text and bounds of segments that name them differently, or not at all."""
+    c = document_captions(spark, sf_dir).withColumn("kind", (F.col("media") + F.col("seq")) % 5)
+    s, e = F.col("ms") / 1000, (F.col("ms") + F.col("len_ms")) / 1000
+    at = lambda k, v: F.when(F.col("kind") == k, v)
+    ts = A.timestamp_of(at(0, s + 9), at(1, s + 7), at(2, s + 5), s, e)
+    text = A.first_text(F.when(F.col("kind") > 1, F.col("text")).otherwise(""), at(1, F.lit("other")))
+    start, end = A.bounds(F.when(F.col("kind") != 4, s), F.when(F.col("kind") < 3, e), ts)
+    return c.select(F.col("media").alias("doc_id"), "seq", ts.alias("ts"), text.alias("text"), start.alias("start"), end.alias("end"))
+
+
+@query("""select doc_id, 0 as x, cast(round_even((doc_id % 700 + 20) * (1 - 0.15::double), 0) as int) as y, 640 as width,
+  cast(doc_id % 700 + 20 - round_even((doc_id % 700 + 20) * (1 - 0.15::double), 0) as int) as height from documents""")
+def screen_band(spark, sf_dir):
+    """The band that is read, of frames of many heights."""
+    band = ocr_select.fixed_bounds((F.col("doc_id") % 700 + 20).cast("int"), F.lit(640), 0.15)
+    return table(spark, sf_dir, "documents").select("doc_id", band.alias("b")).select("doc_id", "b.*")
+
+
+@query("""with l as (select doc_id, case when doc_id % 2 = 0 then '/a/m' || doc_id || '/transcription.json' else '/a/m' || doc_id || '.json' end as path from documents)
+select path, case when doc_id % 3 = 0 then '/b/m' || doc_id || '/ocr_results.json' when doc_id % 3 = 1 then '/b/m' || doc_id || '.json' end as other from l""")
+def file_pairs(spark, sf_dir):
+    """Files of two folders that are about the same item."""
+    n, k = F.concat(F.lit("m"), F.col("doc_id").cast("string")), F.col("doc_id")
+    d = table(spark, sf_dir, "documents")
+    left = d.select(F.when(k % 2 == 0, F.concat(F.lit("/a/"), n, F.lit("/transcription.json"))).otherwise(F.concat(F.lit("/a/"), n, F.lit(".json"))).alias("path"))
+    right = d.where(k % 3 < 2).select(F.when(k % 3 == 0, F.concat(F.lit("/b/"), n, F.lit("/ocr_results.json"))).otherwise(F.concat(F.lit("/b/"), n, F.lit(".json"))).alias("path"))
+    return sources.pair_files(left, right)
 
 
 @query("""select lang, count(*) as documents, case when lang in ('en','hi','kn','ta','te') then lang else 'multi' end as screen,
@@ -155,10 +214,26 @@ def transcript_counts(spark, sf_dir):
     return segments.transcript_counts(segments.build(noisy(document_captions(spark, sf_dir))))
 
 
-@query()
+SPREAD = f"""{NOISY}, t as (select media_id, seq, ms, end_ms, (ms + end_ms) // 2 as mid, end_ms - ms as d from b),
+m as (select *, least(greatest(d * 15 // 100, 200), 900) as margin from t), k as (select *, unnest([0, 1, 2]) as k from m)"""
+
+
+@query(f"""{SPREAD} select media_id, cast(seq as integer) as id, k, round(greatest(0, case when d <= 800 then mid - 350 + 350 * k
+  when k = 0 then ms + margin when k = 1 then mid else end_ms - margin end) / 1000.0, 3) as "time" from k""")
 def sample_times(spark, sf_dir):
     s = segments.build(noisy(document_captions(spark, sf_dir)))
-    return s.select("media_id", "id", segments.sample_times(F.col("start"), F.col("end"), F.col("midpoint"), 0.35, 3).alias("times"))
+    times = segments.sample_times(F.col("start"), F.col("end"), F.col("midpoint"), 0.35, 3)
+    return s.select("media_id", "id", F.posexplode(times).alias("k", "time"))
+
+
+@query(f"""{NOISY}, k as (select * from b where not (text = '' and end_ms / 1000.0::double - ms / 1000.0::double < 0.5)),
+l as (select media_id, string_agg(printf('[%.2fs - %.2fs] %s', ms / 1000.0::double, end_ms / 1000.0::double, text), chr(10) order by seq) as lines from k where text <> '' group by 1),
+i as (select distinct media_id from k)
+select i.media_id, '# Input: ' || i.media_id || '.mp4' || chr(10) || '# Language: en' || chr(10) || '# Model: small' || coalesce(chr(10) || chr(10) || lines, '') || chr(10) as text from i left join l on i.media_id = l.media_id""")
+def transcript_text(spark, sf_dir):
+    s = segments.filter_noise(segments.build(noisy(document_captions(spark, sf_dir))))
+    meta = s.select("media_id").distinct().select("media_id", F.concat("media_id", F.lit(".mp4")).alias("input_file"), F.lit("en").alias("language"), F.lit("small").alias("model"))
+    return segments.render_text(s, meta)
 
 
 # --- joins --------------------------------------------------------------------------------
@@ -171,7 +246,21 @@ def align_by_id(spark, sf_dir):
     return A.align_ids(*talk(spark, sf_dir))
 
 
-@query()
+GREEDY = f"""{TALK.replace('with ', 'with recursive ', 1)}, said as (select *, row_number() over (partition by media_id order by seq) as n from speech),
+named as (select media_id, id, max(seq) as s_seq from sub where id is not null group by 1, 2),
+near as (select a.media_id, a.n, list(s.seq order by abs(a.ts - s.ts), s.seq) as l from said a join sub s on a.media_id = s.media_id and abs(a.ts - s.ts) <= 1.5 group by 1, 2),
+asked as (select a.media_id, a.n, a.seq, list_concat(case when d.s_seq is null then [] else [d.s_seq] end, coalesce(l, [])) as wanted
+  from said a left join named d on a.media_id = d.media_id and a.id = d.id left join near on a.media_id = near.media_id and a.n = near.n),
+walk as (select distinct media_id, 0::bigint as n, null::bigint as a_seq, null::bigint as s_seq, []::bigint[] as used from said
+  union all select media_id, n, seq, got, case when got is null then used else list_append(used, got) end
+  from (select w.media_id, a.n, a.seq, w.used, list_filter(a.wanted, lambda x: not list_contains(w.used, x))[1] as got from walk w join asked a on w.media_id = a.media_id and a.n = w.n + 1)),
+met as (select media_id, a_seq, s_seq from walk where n > 0),
+every as (select * from met union all select s.media_id, null, s.seq from sub s where not exists (select 1 from met where met.media_id = s.media_id and met.s_seq = s.seq)),
+aligned as (select e.media_id, row_number() over (partition by e.media_id order by coalesce(a.ts, s.ts), e.a_seq is null, e.a_seq, e.s_seq) as pos, e.a_seq, e.s_seq, coalesce(a.ts, s.ts) as ts
+  from every e left join speech a on e.media_id = a.media_id and e.a_seq = a.seq left join sub s on e.media_id = s.media_id and e.s_seq = s.seq)"""
+
+
+@query(f"{GREEDY} select media_id, pos, a_seq, s_seq from aligned")
 def align_greedy(spark, sf_dir):
     return A.align(*talk(spark, sf_dir)).select("media_id", "pos", "a_seq", "s_seq")
 
@@ -218,7 +307,8 @@ def nearby_groups(spark, sf_dir):
 
 def item_pairs(spark, sf_dir) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", T.normalize_text(F.col("text")).alias("a"))
-    return b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
+    pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
+    return pairs.repartition(spark.sparkContext.defaultParallelism)  # the kernel takes milliseconds a pair
 
 
 ITEMS = f"with n as (select item_id, {S.normalize('text')} as a from benchmark), p as (select n.item_id, n.a, m.a as b from n join n m on m.item_id = n.item_id + 1)"
@@ -260,6 +350,65 @@ def compare_min(spark, sf_dir):
     return p.groupBy("media_id").agg(F.count("*").alias("rows"), F.count_if("same").alias("same"), F.count_if(F.col("score") >= 0.8).alias("ok"), F.sum(F.round(F.col("score") * 10000)).cast("long").alias("total"))
 
 
+def judged(spark, sf_dir) -> DataFrame:
+    """Classified rows whose score is the coverage of lengths, so that SQL can give it too."""
+    a, s = talk(spark, sf_dir)
+    p = A.align_ids(a, s).join(a.select("media_id", F.col("seq").alias("a_seq"), F.col("ts").alias("a_ts"), "start", "end", F.col("text").alias("a_text")), ["media_id", "a_seq"], "left")
+    p = p.join(s.select("media_id", F.col("seq").alias("s_seq"), F.col("ts").alias("s_ts"), F.col("text").alias("sub")), ["media_id", "s_seq"], "left").fillna("", ["a_text", "sub"])
+    order = Window.partitionBy("media_id").orderBy(F.coalesce("a_ts", "s_ts"), F.col("a_seq").isNull(), "a_seq", "s_seq")
+    p = p.withColumn("pos", F.row_number().over(order)).withColumn("a_norm", T.normalize_text(F.col("a_text"))).withColumn("n_sub", T.normalize_text(F.col("sub")))
+    n, m = F.length("a_norm"), F.length("n_sub")
+    cover = F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(F.round(F.least(n, m) / F.greatest(n, m), 4))
+    p = p.withColumn("cover", cover)
+    none = lambda x: F.lit(None).cast(x.split()[1]).alias(x.split()[0])
+    metrics = F.struct(*[F.col("cover").alias(x.split()[0]) if x.split()[0] in ("score", "length_coverage") else none(x) for x in METRICS.split(", ")])
+    p = p.select("media_id", "pos", F.coalesce("a_ts", "s_ts").alias("ts"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), "a_text", "a_norm", "sub", metrics.alias("m"), F.lit("aligned").alias("match_source"))
+    return C.classify(p, CompareParams())
+
+
+JUDGED = f"""{TALK}, l as (select media_id, id, max(seq) as s_seq from sub where id is not null group by 1, 2),
+m as (select a.media_id, a.seq as a_seq, l.s_seq from speech a left join l on a.media_id = l.media_id and a.id = l.id),
+e as (select * from m union all select s.media_id, null, s.seq from sub s where not exists (select 1 from m where m.media_id = s.media_id and m.s_seq = s.seq)),
+j as (select e.media_id, row_number() over (partition by e.media_id order by coalesce(a.ts, s.ts), e.a_seq is null, e.a_seq, e.s_seq) as id, round(coalesce(a.ts, s.ts), 3) as moment,
+  coalesce(a.text, '') as said, coalesce(s.text, '') as shown, {S.normalize('a.text')} as x, {S.normalize('s.text')} as y
+  from e left join speech a on e.media_id = a.media_id and e.a_seq = a.seq left join sub s on e.media_id = s.media_id and e.s_seq = s.seq),
+g as (select *, {S.strip('said')} <> '' as talks, {S.strip('shown')} as seen, case when x = '' and y = '' then 1.0 when x = '' or y = '' then 0.0 else round(least(length(x), length(y))::double / greatest(length(x), length(y)), 4) end as score from j),
+h as (select *, last_value(nullif(seen, '') ignore nulls) over (partition by media_id order by id rows between unbounded preceding and 1 preceding) as before from g),
+r as (select *, case when score < 0.8 then 'REVIEW' else 'OK' end as status, case when talks and seen = '' then 'missing_subtitle' when seen <> '' and not talks then 'missing_speech'
+  when seen <> '' and seen = coalesce(before, '') and x <> y and score < 0.8 then 'duplicate' when score < 0.8 then 'low_similarity' else 'ok' end as reason from h)"""
+
+
+@query(f"{JUDGED} select media_id, id, moment as \"timestamp\", said as audio_text, shown as subtitle_text, score, status, reason from r")
+def classify_rows(spark, sf_dir):
+    return judged(spark, sf_dir).select("media_id", F.col("id").cast("long").alias("id"), "timestamp", "audio_text", "subtitle_text", "score", "status", "reason")
+
+
+@query(f"""{JUDGED}, s as (select media_id, count(*) as segment_count, count_if(status = 'REVIEW') as flagged_count, round(avg(score), 4) as avg_score, count_if(reason = 'missing_subtitle') as missing_subtitle_count,
+  count_if(reason = 'missing_speech') as missing_speech_count, count_if(reason = 'duplicate') as duplicate_count from r group by 1)
+select media_id, segment_count, cast(flagged_count as bigint) as flagged_count, avg_score, cast(missing_subtitle_count as bigint) as missing_subtitle_count,
+  cast(missing_speech_count as bigint) as missing_speech_count, cast(duplicate_count as bigint) as duplicate_count from s""")
+def rollup_rows(spark, sf_dir):
+    return C.summarize(judged(spark, sf_dir))
+
+
+@query(f"{JUDGED} select media_id, string_agg(distinct reason, ',' order by reason) as reasons, count(distinct reason) as kinds from r group by 1")
+def reason_lists(spark, sf_dir):
+    return review.reasons(judged(spark, sf_dir)).select("media_id", F.array_join("reasons", ",").alias("reasons"), F.size("reasons").cast("long").alias("kinds"))
+
+
+@query(f"{JUDGED} select media_id, id, score, reason from r where status = 'REVIEW' and score >= 0.2 and score <= 0.9 and (contains({S.casefold('said')}, 'en') or contains({S.casefold('shown')}, 'en') or contains(reason, 'en'))")
+def review_rows(spark, sf_dir):
+    """Rows to review within a range of scores that a search finds, worst first."""
+    rows = review.review_filter(judged(spark, sf_dir), query=" EN ", status="REVIEW", low=0.2, high=0.9)
+    return review.review_sort(rows, "score").select("media_id", F.col("id").cast("long").alias("id"), "score", "reason")
+
+
+@query(f"""{JUDGED}, s as (select media_id, count(*) as segment_count, cast(count_if(status = 'REVIEW') as bigint) as flagged_count, avg(score) as a from r group by 1)
+select media_id, segment_count, flagged_count, segment_count - flagged_count as ok_count from s""")
+def report_header(spark, sf_dir):
+    return review.header(C.summarize(judged(spark, sf_dir))).drop("average")
+
+
 def compared(spark, sf_dir) -> DataFrame:
     return C.compare(*talk(spark, sf_dir))
 
@@ -334,8 +483,13 @@ def best_frame(spark, sf_dir):
     return ocr_select.best_frame(f)
 
 
-@query()
+KEY = lambda x: S.casefold(x)
+
+
+@query(f"""with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda t: {S.strip("regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')")}), lambda t: t <> '') as lines from documents)
+select doc_id, case when lines is not null then array_to_string(list_reduce(list_prepend([]::varchar[], list_transform(lines, lambda t: [t])), lambda kept, one:
+  case when len(list_filter(kept, lambda y: contains({KEY('y')}, {KEY('one[1]')}) or contains({KEY('one[1]')}, {KEY('y')}))) > 0 then kept else list_append(kept, one[1]) end), ' ') end as text from l""")
 def merge_unique_texts(spark, sf_dir):
     """Each document's lines, without lines within other lines before them."""
     lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(ocr_select.merge_unique(lines).cast("binary")).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", ocr_select.merge_unique(lines).alias("text"))

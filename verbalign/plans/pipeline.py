@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,18 +18,30 @@ from ..sources import adapters
 def kept(rows: DataFrame) -> DataFrame:
     """``rows`` as a table in the session's shared checkpoint folder."""
     spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stages-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def speech(media: DataFrame, make: Callable = adapters.FakeRecogniser) -> DataFrame:
-    """media_id, seq, id, start, end, midpoint, text, confidence."""
-    return segments.filter_noise(segments.build(adapters.transcribe(media, make)))
+def speech(media: DataFrame, make: Callable) -> DataFrame:
+    """media_id, seq, id, start, end, midpoint, text, confidence. An item's failure is an error of the whole plan."""
+    raw = adapters.transcribe(media, make)
+    failed = F.raise_error(F.concat("media_id", F.lit(": "), "error")).cast("string")
+    return segments.filter_noise(segments.build(raw.withColumn("text", F.when(F.col("error").isNotNull(), failed).otherwise(F.col("text")))))
 
 
-def screen(speech_rows: DataFrame, make: Callable = adapters.FakeReader, effort: str = "balanced", language: str = MULTI, window: float = 0.35, samples: int = 3) -> DataFrame:
+def attempt(media: DataFrame, make: Callable) -> tuple[DataFrame, DataFrame]:
+    """Speech of the items that can be recognised, and media_id, error of the others. The engine runs once."""
+    raw = kept(adapters.transcribe(media, make))
+    return segments.filter_noise(segments.build(raw.where("error is null"))), raw.where("error is not null").select("media_id", "error")
+
+
+def screen(speech_rows: DataFrame, make: Callable, effort: str = "balanced", language: str = MULTI, window: float = 0.35, samples: int = 3) -> DataFrame:
     """media_id, id, timestamp, subtitle_text, confidence, status for every speech segment."""
     times = segments.sample_times(F.col("start"), F.col("end"), F.col("midpoint"), window, samples)
     frames = speech_rows.select("media_id", "id", F.col("midpoint").alias("mid"), F.col("text").alias("audio_text"), F.posexplode(times).alias("frame", "ts"))
@@ -43,10 +54,13 @@ def screen(speech_rows: DataFrame, make: Callable = adapters.FakeReader, effort:
     return ocr_select.best_frame(f, language)
 
 
-def run(media: DataFrame, recogniser: Callable = adapters.FakeRecogniser, reader: Callable = adapters.FakeReader, p: CompareParams = CompareParams()) -> tuple[DataFrame, DataFrame]:
+def run(media: DataFrame, recogniser: Callable, reader: Callable, p: CompareParams = CompareParams(), **look) -> tuple[DataFrame, DataFrame]:
     """Result rows and roll-up of media paths. The engines run once: their output is kept as tables."""
     said = kept(speech(media, recogniser))
-    shown = kept(screen(said, reader))
+    return against_screen(media, said, kept(screen(said, reader, **look)), p)
+
+
+def against_screen(media: DataFrame, said: DataFrame, shown: DataFrame, p: CompareParams) -> tuple[DataFrame, DataFrame]:
     a = said.select("media_id", "seq", "id", "start", "end", F.col("midpoint").alias("ts"), "text")
     s = shown.select("media_id", F.col("id").cast("long").alias("seq"), "id", F.col("timestamp").alias("ts"), F.col("subtitle_text").alias("text"))
     rows = C.compare(a, s, p)

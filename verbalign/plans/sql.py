@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from ..functions import languages
-from ..functions.text import ALPHA, FOLDS, INDIC_FROM, INDIC_TO, PUNCTUATION, STOCK_PHRASES, WHITE, ZERO_WIDTH
+#: Fixed values, written out here so that they check those of the library.
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
+PUNCTUATION = ".,!?;:\"'()[]{}<>|/\\`~@#$%^&*_+=-\u2014\u2013\u2026\u0964\u0965"
+FOLDS = {"\u00df": "ss", "\u00b5": "\u03bc", "\u017f": "s", "\u0149": "\u02bcn"}
+INDIC_FROM, INDIC_TO = "\u0901\u0949\u093c\u0cbc\u0c3c", "\u0902\u094b"
+WHITE = r'[\s\x0B\x1C-\x1F\x85\p{Z}]'
+ALPHA = r'\p{L}\x{0C5D}\x{0CDD}'
+STOCK_PHRASES = ("thank you for watching", "thanks for watching", "please subscribe", "like and subscribe", "please like and subscribe", "subscribe to my channel", "subtitles by", "amara.org")
+SCRIPTS = {"en": '\\x{0041}-\\x{005A}\\x{0061}-\\x{007A}', "multi": '\\x{0041}-\\x{005A}\\x{0061}-\\x{007A}\\x{0900}-\\x{097F}\\x{0C80}-\\x{0CFF}\\x{0B80}-\\x{0BFF}\\x{0C00}-\\x{0C7F}'}
 
 
 def q(text: str) -> str:
@@ -24,13 +31,20 @@ def normalize(c: str) -> str:
     return f"trim(regexp_replace({c}, '{WHITE}+', ' ', 'g'))"
 
 
+def casefold(c: str) -> str:
+    c = f"lower({c})"
+    for a, b in FOLDS.items():
+        c = f"replace({c}, {q(a)}, {q(b)})"
+    return c
+
+
 def script_ratio(c: str, code: str) -> str:
     letters = f"regexp_replace(coalesce({c}, ''), '[^{ALPHA}]', '', 'g')"
-    inside = f"regexp_replace({letters}, '[^{languages.range_class(code)}]', '', 'g')"
+    inside = f"regexp_replace({letters}, '[^{SCRIPTS[code]}]', '', 'g')"
     return f"coalesce(length({inside})::double / nullif(length({letters}), 0), 0.0)"
 
 
-def is_garbage(c: str, code: str = languages.MULTI) -> str:
+def is_garbage(c: str, code: str = "multi") -> str:
     s = strip(f"coalesce({c}, '')")
     alnum = rf"length(regexp_replace({s}, '[^{ALPHA}\p{{N}}]', '', 'g'))"
     return f"(length({s}) < 2 or {alnum} < 0.4 * length({s}) or {script_ratio(s, code)} < 0.25)"

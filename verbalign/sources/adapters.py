@@ -15,7 +15,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 
-RAW = "media_id string, seq long, start double, end double, text string, avg_logprob double"
+RAW = "media_id string, seq long, start double, end double, text string, avg_logprob double, error string"
 WORD = "media_id string, id int, frame int, ts double, variant string, psm int, ordinal int, pos int, text string, conf string"
 
 
@@ -52,19 +52,24 @@ class FakeReader:
         return []
 
 
-def transcribe(media: DataFrame, make: Callable[[], Recogniser] = FakeRecogniser) -> DataFrame:
-    """Raw segments of every media path."""
+def transcribe(media: DataFrame, make: Callable[[], Recogniser]) -> DataFrame:
+    """Raw segments of every media path; an item whose recognition fails has one row, seq -1, with the error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = make()
         for b in batches:
-            rows = [(p, i, *s) for p in b.path for i, s in enumerate(engine.segments(p))]
+            rows = []
+            for p in b.path:
+                try:
+                    rows += [(p, i, *s, None) for i, s in enumerate(engine.segments(p))]
+                except Exception as e:  # one item's failure is a row of its own
+                    rows.append((p, -1, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
 
     return media.select("path").mapInPandas(run, RAW)
 
 
-def read_screen(frames: DataFrame, make: Callable[[], Reader] = FakeReader) -> DataFrame:
+def read_screen(frames: DataFrame, make: Callable[[], Reader]) -> DataFrame:
     """Words of frames (media_id, id, frame, ts, variant, psm, ordinal)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,6 +84,20 @@ def read_screen(frames: DataFrame, make: Callable[[], Reader] = FakeReader) -> D
     return frames.mapInPandas(run, WORD)
 
 
+def engine(name: str) -> Callable:
+    """What ``module:factory`` names: called without arguments in each worker, it makes an engine."""
+    import importlib
+
+    module, _, factory = name.partition(":")
+    if not factory:
+        raise ValueError(f"an engine is named module:factory, not {name!r}")
+    try:
+        made = getattr(importlib.import_module(module), factory)
+    except (ImportError, AttributeError) as e:
+        raise ValueError(f"no engine {name!r}: {e}") from e
+    return made
+
+
 def resolve(value: str, fetcher: Fetcher | None, directory: str) -> str:
     """A local path as it is; a URL through the fetcher."""
     if not value.lower().startswith(("http:", "https:")):

@@ -22,16 +22,21 @@ MEDIA = "3gp aac aiff alac asf avi f4v flac flv m2ts m4a m4v mkv mov mp3 mp4 mpe
 TRANSCRIPT, RESULTS, MANIFEST, SCREEN = "transcription.json", "results.json", "run_manifest.json", "ocr_results.json"
 
 
-def read_payloads(spark: SparkSession, path: str | list[str], strict: bool = False, need_metadata: bool = False) -> DataFrame:
+def read_payloads(spark: SparkSession, path: str | list[str], strict: bool = False, need_metadata: bool = False, broken: bool = False) -> DataFrame:
     """media_id (the file's path) and one row per segment with its seq.
 
-    ``strict``: a file must be an object with segments; ``need_metadata``: and metadata.
+    ``strict``: a file must be an object with segments; ``need_metadata``: and
+    metadata. A file that isn't a payload is an error; with ``broken`` it has
+    one row instead, of seq -1.
     """
     raw = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("media_id"))
     listed = F.ltrim(F.col("value")).startswith("[")
     whole = F.from_json("value", f"struct<segments:array<struct<{_typed()}>>,metadata:string>", {"mode": "PERMISSIVE"})
     raw = raw.select("media_id", F.when(listed, F.from_json("value", f"array<struct<{_typed()}>>")).otherwise(whole["segments"]).alias("segments"), listed.alias("listed"), whole["metadata"].alias("metadata"))
     bad = F.col("segments").isNull() | (F.lit(strict or need_metadata) & F.col("listed")) | (F.lit(need_metadata) & F.col("metadata").isNull())
+    if broken:
+        rows = raw.select("media_id", F.posexplode_outer(F.when(~bad, F.col("segments"))).alias("seq", "s"), bad.alias("bad")).where("bad or seq is not null")
+        return rows.select("media_id", F.when(F.col("bad"), -1).otherwise(F.col("seq")).cast("long").alias("seq"), "s.*")
     raw = raw.withColumn("segments", F.when(bad, F.raise_error(F.concat(F.lit("not a segment payload: "), "media_id")).cast(raw.schema["segments"].dataType)).otherwise(F.col("segments")))
     rows = raw.select("media_id", F.posexplode("segments").alias("seq", "s"))
     return rows.select("media_id", F.col("seq").cast("long").alias("seq"), "s.*")
@@ -100,6 +105,31 @@ def pair_files(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("path", safe_name(batch_stem(F.col("path"))).alias("stem")).join(r, "stem", "left").select("path", "other")
 
 
+def matched(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """path, other, stem of what is compared: two files, or the files of two folders that are about the same item.
+
+    A left file without a partner has none.
+    """
+    from ..functions.text import output_stem
+
+    one = lambda p: list_files(spark, p).count() == 1 and not _is_folder(spark, p)
+    if one(left) and one(right):
+        pairs = spark.createDataFrame([(left, right)], "path string, other string")
+    else:
+        speech = payload_files(spark, left) if _is_folder(spark, left) else list_files(spark, left).select("path")
+        screen = payload_files(spark, right, SCREEN, (RESULTS, MANIFEST, TRANSCRIPT)) if _is_folder(spark, right) else list_files(spark, right).select("path")
+        pairs = pair_files(speech, screen)
+    return pairs.select("path", "other", output_stem(batch_stem(F.col("path"))).alias("stem"))
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        raise FileNotFoundError(f"no such input: {path}")
+    return fs.getFileStatus(root).isDirectory()
+
+
 def first_existing(files: DataFrame, candidates: DataFrame) -> DataFrame:
     """Of candidates (key, rank, path) the first that is among the files, by key."""
     met = candidates.join(files.select("path").distinct(), "path")
