@@ -46,13 +46,15 @@ def casefold(c: Column) -> Column:
     return out
 
 
+#: What becomes one space: white space and punctuation.
+BETWEEN = "[" + WHITE[1:-1] + "".join(f"\\{c}" if c.isascii() else c for c in PUNCTUATION) + "]+"
+
+
 def normalize_composed(c: Column) -> Column:
     """Normalisation of text that is in composed form already: wholly inside code generation."""
-    c = F.translate(F.coalesce(c, F.lit("")), ZERO_WIDTH, "")
-    c = casefold(F.translate(c, "\n\r", "  "))
-    c = F.translate(c, INDIC_FROM, INDIC_TO)
-    c = F.translate(c, PUNCTUATION, " " * len(PUNCTUATION))
-    return F.regexp_replace(F.regexp_replace(c, rf"{WHITE}+", " "), "^ | $", "")
+    c = casefold(F.regexp_replace(F.coalesce(c, F.lit("")), f"[{ZERO_WIDTH}]", ""))
+    c = F.when(c.rlike(f"[{INDIC_FROM}]"), F.translate(c, INDIC_FROM, INDIC_TO)).otherwise(c)
+    return F.trim(F.regexp_replace(c, BETWEEN, " "))
 
 
 def normalize_text(c: Column) -> Column:
