@@ -219,6 +219,73 @@ def test_template_decides_beside_an_article(spark):
     assert got == {i: f"teaser {i}\n\nown text {i}" for i in range(10)} | {10: "own text 10"}
 
 
+def classes_by_brute_force(pages):
+    """Of one host: tokens with one count on every page, in whole rounds, not across another set's; in the order that all pages have."""
+    sequences = [templates.parsed(p)[0] for p in pages]
+    vectors = {}
+    for t in set().union(*sequences):
+        v = tuple(s.count(t) for s in sequences)
+        if all(v):
+            vectors.setdefault(v, set()).add(t)
+    sets = list(vectors.values())
+
+    def rounds(c, s):
+        own = [k for k, t in enumerate(s) if t in sets[c]]
+        n = len(sets[c])
+        return [own[i : i + n] for i in range(0, len(own), n)]
+
+    whole = {c for c in range(len(sets)) if all(len({s[k] for k in r}) == len(sets[c]) for s in sequences for r in rounds(c, s))}
+    bad = {b for a in whole for b in whole - {a} for s in sequences for x in rounds(b, s) for y in rounds(a, s) if y[0] < x[0] < y[-1] and any(x[0] < k < x[-1] for k in y)}
+    out = set()
+    for c in whole - bad:
+        ranks = {t: {r.index(k) for s in sequences for r in rounds(c, s) for k in r if s[k] == t} for t in sets[c]}
+        steady = sorted((min(r), t) for t, r in ranks.items() if len(r) == 1)
+        if steady:
+            out.add(tuple(t for _, t in steady))
+    return out
+
+
+def host_table(spark, pages):
+    rows = spark.createDataFrame([("h", 1000 + 7919 * i, p) for i, p in enumerate(pages)], "host string, page long, html string")
+    return templates.template_classes(rows, rows.groupBy("host").count().withColumnRenamed("count", "all"))
+
+
+def test_classes_are_those_of_brute_force(spark):
+    r = random.Random(12)
+    pages = []
+    for i in range(12):
+        items = "".join(f"<li>item {r.random()}</li>" for _ in range(1 + i % 4))
+        swap = ["<div class=s><p>left</p></div>", "<div class=t><p>right</p></div>"]
+        r.shuffle(swap)  # these two come in no order
+        pages.append(f"<html><body><div class=top>Welcome</div>{''.join(swap)}<ul>{items}</ul><div class=text><p>text {i}</p></div><div class=end>Bye</div></body></html>")
+    got = host_table(spark, pages).collect()
+    assert {tuple(x.tokens) for x in got} == classes_by_brute_force(pages)
+    by_size = sorted(got, key=lambda x: -len(x.tokens))
+    top, items = by_size[0], next(x for x in got if len(x.tokens) == 2)
+    fixed = {templates.parsed(p)[0][2] for p in pages}  # Welcome comes after three tags
+    assert len(top.tokens) > 8 and templates.parsed(pages[0])[0][3] in top.tokens and fixed
+    assert (top.inside, items.inside) == (0, top.cls) and items.gap > 0
+
+
+def test_a_host_of_two_layouts_and_menus_of_links(spark):
+    a = "<div class=m><a href=/>%d</a> <a href=/x>about %d</a></div><div class=k><p>House rules</p></div><div class=w><p>own %d</p></div>"
+    b = "<table><tr><td class=q>Our archive</td><td class=z>own %d</td></tr></table>"
+    rows = [(2**60 + i if i else None, f"https://e.com/{i}", a % (i, i, i) if i % 5 < 3 else b % i) for i in range(20)]
+    got = {r.page_id: r.text for r in templates.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(2**60 + i if i else None): f"own {i}" for i in range(20)}
+    off = {r.text for r in templates.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), use_template=False).collect()}
+    assert all("Our archive" in t or "House rules" in t for t in off)
+
+
+def test_deep_pages_take_no_longer():
+    import time
+
+    began = time.process_time()
+    assert templates.blocks_of("<div>" * 10_000 + "x" + "</div>" * 10_000) == ["x"]
+    assert templates.blocks_of("<ul><li>" + "<div>" * 5000 + "<li>y" * 5000) == ["y"] * 5000
+    assert time.process_time() - began < 2
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])
