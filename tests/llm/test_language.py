@@ -55,6 +55,80 @@ def test_lm(spark):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+def test_lm_of_odd_tables(spark):
+    """No rows; no training rows; repeated rows; ids beyond a double's integers next to a null one."""
+    d = labelled(spark)
+    assert gru_lm.score_corpus(d.limit(0)).collect() == []
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    got = gru_lm.score_corpus(docs(spark, [(i, "a b c") for i in held])).collect()
+    assert all((r.train_tokens, r.n_known) == (0, 0) and math.isfinite(r.score) for r in got) and len(got) == 3
+    got = gru_lm.score_corpus(docs(spark, [(2**60 + 1, "a b"), (2**60 + 1, "a b"), (None, "a b"), (3, None)])).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (3, 1), (2**60 + 1, 3), (2**60 + 1, 3)]
+    assert len({r.score for r in got if r.n_tokens == 3}) == 1
+
+
+def small_model(seed=3):
+    r = np.random.default_rng(seed)
+    vocab = gru_lm.Vocabulary([(b"w%d" % i, 900 // (i + 1)) for i in range(80)], 5000, 100, 9)
+    w = {k: (v + 0.3 * r.standard_normal(v.shape)).astype(np.float64) for k, v in vocab.start().items()}
+    places = [vocab.place(b"w%d" % i, 1) for i in range(90)]
+    draw = lambda n: [places[i] for i in r.integers(0, 90, n)]
+    docs = [tuple(np.array(x) for x in zip(*draw(int(n)))) for n in r.integers(1, 40, 50)]
+    return vocab, w, docs
+
+
+def test_lm_scores_as_a_plain_loop_does():
+    vocab, w, docs_ = small_model()
+    H = gru_lm.HIDDEN
+    soft = lambda x: x / (1 + abs(x))
+    want = []
+    for inputs, classes, shares in docs_:
+        h, total = np.zeros(H), 0.0
+        for i, c, share in zip(inputs, classes, shares):
+            logits = h @ w["wc"] + w["bc"]
+            total += logits[c] - np.log(np.exp(logits).sum()) + share
+            if c < vocab.heads:
+                lo, hi = vocab.members[c], vocab.members[c + 1]
+                inner = w["wo"][lo:hi] @ h + w["bo"][lo:hi]
+                total += inner[i - lo] - np.log(np.exp(inner).sum())
+            x = w["embed"][i] @ w["wx"] + w["b"]
+            gates = (1 + soft(x[: 2 * H] + h @ w["wh"][:, : 2 * H])) / 2
+            new = soft(x[2 * H :] + (gates[H:] * h) @ w["wh"][:, 2 * H :])
+            h = h + gates[:H] * (new - h)
+        want.append(total / math.log(10))
+    assert gru_lm.score_documents(w, vocab, docs_, 4) == pytest.approx(np.array(want), rel=1e-4)
+
+
+def test_lm_gradients_are_those_of_differences():
+    vocab, w, docs_ = small_model(5)
+    at, fresh = gru_lm.laid_out([d[0] for d in docs_[:9]], 4)
+    inputs, classes = (np.concatenate([d[k] for d in docs_[:9]]) for k in (0, 1))
+    on, ids, h0 = at >= 0, inputs[at], np.random.default_rng(1).standard_normal((at.shape[1], gru_lm.HIDDEN)) * 0.3
+    fresh[0] = False  # the state before the window matters, too
+
+    def run(grads):
+        x = w["embed"][ids]
+        states, _, saved = gru_lm.forward(w, x @ w["wx"] + w["b"], fresh, h0, True)
+        if grads:
+            return gru_lm.gradients(w, vocab, x, ids, classes[at], on, fresh, states, saved)
+        return -gru_lm.outputs(w, vocab, states[on], ids[on], classes[at][on])[0].sum()
+
+    grads, dx = run(True)
+    embed = np.zeros_like(w["embed"])
+    np.add.at(embed, ids.ravel(), dx.reshape(-1, dx.shape[2]) @ w["wx"].T)
+    r = np.random.default_rng(2)
+    for name, g in {**grads, "embed": embed}.items():
+        flat = w[name].reshape(-1)
+        for k in r.choice(np.argsort(-abs(g.reshape(-1)))[: max(20, g.size // 10)], 6):
+            own, step = flat[k], 1e-5
+            flat[k] = own + step
+            up = run(False)
+            flat[k] = own - step
+            down = run(False)
+            flat[k] = own
+            assert (up - down) / (2 * step) == pytest.approx(g.reshape(-1)[k], rel=1e-3, abs=1e-4), name
+
+
 def test_lm_trains_on_every_document(spark):
     """A word's embedding moves only by backpropagation over a document that has it; here each document has its own."""
     rows = docs(spark, [f"own{i} " * 100 for i in range(32)])

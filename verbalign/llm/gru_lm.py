@@ -36,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, release, text_of
+from .common import documents, id_again, id_columns, materialise, release, text_of
 from .hyperdim import held_out
 
 HEAD, CLASSES, HIDDEN, EMBED = 2048, 40, 24, 16
 LISTED, SURE = 60_000, 3  # words whose class is known everywhere: a bounded list
-STEPS, STREAMS, PASSES, RATE = 24, 96, 1, 0.05
+STEPS, STREAMS, PASSES, RATE = 16, 384, 1, 0.15
 BUCKET_CHARS = 16_000_000
 END = b""  # the end's name: no word is empty
 HELD_MODULUS, HELD_REMAINDER = 7, 2
@@ -105,68 +105,125 @@ class Vocabulary:
         }
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+def soft(x: np.ndarray, into: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in (-1, 1) as tanh is; its slope is (1 - |it|) squared."""
+    np.abs(x, out=into)
+    into += np.float32(1)
+    return np.divide(x, into, out=into)
 
 
 def forward(w: dict[str, np.ndarray], gates: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
     """States before each step's word. ``gates``: T x S x 3H of the words' own input; ``fresh``: T x S, a document begins.
 
-    The state at step t comes from the words up to t-1: it predicts word t, then takes it in.
+    The state at step t comes from the words up to t-1: it predicts word t, then
+    takes it in. Gates are (1 + soft) / 2 and candidates soft; these are kept.
     """
     T, S = fresh.shape
     H = h.shape[1]
-    states, saved = np.empty((T, S, H), np.float32), []
-    u = w["wh"]
+    states, begins = np.empty((T, S, H), h.dtype), fresh.any(1)
+    a, c = np.empty((T if keep else 1, S, 2 * H), h.dtype), np.empty((T if keep else 1, S, H), h.dtype)
+    uzr, uc = np.ascontiguousarray(w["wh"][:, : 2 * H]), np.ascontiguousarray(w["wh"][:, 2 * H :])
     for t in range(T):
-        if fresh[t].any():
+        k = t if keep else 0
+        if begins[t]:
             h = np.where(fresh[t][:, None], np.float32(0), h)
         states[t] = h
         x = gates[t]
-        zr = sigmoid(x[:, : 2 * H] + h @ u[:, : 2 * H])
-        z, r = zr[:, :H], zr[:, H:]
-        rh = r * h
-        c = np.tanh(x[:, 2 * H :] + rh @ u[:, 2 * H :])
-        if keep:
-            saved.append((h, z, r, rh, c))
-        h = h + z * (c - h)
-    return states, h, saved
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+        zr = h @ uzr
+        zr += x[:, : 2 * H]
+        soft(zr, a[k])
+        rh = a[k][:, H:] * h
+        rh += h
+        rh *= np.float32(0.5)
+        new = rh @ uc
+        new += x[:, 2 * H :]
+        soft(new, c[k])
+        step = c[k] - h
+        step *= a[k][:, :H] + np.float32(1)
+        step *= np.float32(0.5)
+        h = h + step
+    return states, h, (a, c)
+
+
+def backward(w: dict[str, np.ndarray], states: np.ndarray, saved, begin: np.ndarray, dstates: np.ndarray, grads: dict) -> np.ndarray:
+    """Gradients of the gates' inputs, T x S x 3H; adds those of ``wh``."""
+    T, S, H = states.shape
+    (a, c), begins = saved, begin.any(1)
+    dx = np.empty((T, S, 3 * H), states.dtype)
+    half, uzr, uc = np.float32(0.5), np.ascontiguousarray(w["wh"][:, : 2 * H].T), np.ascontiguousarray(w["wh"][:, 2 * H :].T)
+    slope_a, slope_c = (1 - np.abs(a)) ** 2 * half, (1 - np.abs(c)) ** 2
+    z, r = (1 + a[:, :, :H]) * half, (1 + a[:, :, H:]) * half
+    toward, keep = (c - states) * slope_a[:, :, :H], 1 - z
+    slope_c *= z
+    by_r = states * slope_a[:, :, H:]
+    dh = np.zeros((S, H), states.dtype)
+    for t in range(T - 1, -1, -1):
+        d = dx[t]
+        np.multiply(dh, toward[t], out=d[:, :H])
+        np.multiply(dh, slope_c[t], out=d[:, 2 * H :])
+        drh = d[:, 2 * H :] @ uc
+        np.multiply(drh, by_r[t], out=d[:, H : 2 * H])
+        dh *= keep[t]
+        drh *= r[t]
+        dh += drh
+        dh += d[:, : 2 * H] @ uzr
+        dh += dstates[t]
+        if begins[t]:
+            dh[begin[t]] = 0
+    before, flat = states.reshape(-1, H), dx.reshape(-1, 3 * H)
+    grads["wh"][:, : 2 * H] += before.T @ flat[:, : 2 * H]
+    grads["wh"][:, 2 * H :] += (r.reshape(-1, H) * before).T @ flat[:, 2 * H :]
+    return dx
+
+
+HIGHEST = np.float32(60)  # of a logit, far beyond what weights reach: its exponential is finite
+
+
+def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials and their sums by row."""
+    np.minimum(x, HIGHEST, out=x)
+    e = np.exp(x)
+    return e, e @ np.ones(e.shape[1], np.float32)
 
 
 def outputs(w, vocab: Vocabulary, h: np.ndarray, words: np.ndarray, classes: np.ndarray, grads=None):
     """Natural log probabilities of words (tail shares left out); with ``grads``, adds gradients and returns the states'."""
-    logits = log_softmax(h @ w["wc"] + w["bc"])
+    order = np.argsort(classes.astype(np.uint16) if vocab.classes < 65536 else classes, kind="stable")  # a class's words side by side
+    h, words, classes = h[order], words[order], classes[order]
+    x = h @ w["wc"] + w["bc"]
+    e, total = softmax(x)
     at = np.arange(len(h))
-    out = logits[at, classes]
+    got = x[at, classes] - np.log(total)
     dh = None
     if grads is not None:
-        d = np.exp(logits)
-        d[at, classes] -= 1
-        grads["wc"] += h.T @ d
-        grads["bc"] += d.sum(0)
-        dh = d @ w["wc"].T
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(vocab.heads + 1))
+        e /= total[:, None]
+        e[at, classes] -= 1
+        grads["wc"] += h.T @ e
+        grads["bc"] += np.ones(len(h), np.float32) @ e
+        dh = e @ w["wc"].T
+    cuts = np.searchsorted(classes, np.arange(vocab.heads + 1))
     for k in range(vocab.heads):
         lo, hi = vocab.members[k], vocab.members[k + 1]
-        mine = order[cuts[k] : cuts[k + 1]]
-        if hi - lo < 2 or not len(mine):
+        if hi - lo < 2 or cuts[k] == cuts[k + 1]:
             continue
+        mine = slice(cuts[k], cuts[k + 1])
         hk = h[mine]
-        inner = log_softmax(hk @ w["wo"][lo:hi].T + w["bo"][lo:hi])
-        pick = words[mine] - lo
-        out[mine] += inner[np.arange(len(mine)), pick]
+        x = hk @ w["wo"][lo:hi].T + w["bo"][lo:hi]
+        e, total = softmax(x)
+        pick, one = words[mine] - lo, at[: len(hk)]
+        got[mine] += x[one, pick] - np.log(total)
         if grads is not None:
-            d = np.exp(inner)
-            d[np.arange(len(mine)), pick] -= 1
-            grads["wo"][lo:hi] += d.T @ hk
-            grads["bo"][lo:hi] += d.sum(0)
-            dh[mine] += d @ w["wo"][lo:hi]
+            e /= total[:, None]
+            e[one, pick] -= 1
+            grads["wo"][lo:hi] += e.T @ hk
+            grads["bo"][lo:hi] += np.ones(len(hk), np.float32) @ e
+            dh[mine] += e @ w["wo"][lo:hi]
+    out = np.empty_like(got)
+    out[order] = got
+    if dh is not None:
+        back = np.empty_like(dh)
+        back[order] = dh
+        dh = back
     return out, dh
 
 
@@ -204,7 +261,7 @@ def score_documents(w, vocab: Vocabulary, docs: list[tuple[np.ndarray, np.ndarra
         return np.empty(0)
     lengths = np.array([len(d[0]) for d in docs])
     words, classes, shares = (np.concatenate([d[k] for d in docs]) for k in range(3))
-    at, fresh = laid_out([d[0] for d in docs], max(8, min(streams * 4, int(lengths.sum() // 2000))))
+    at, fresh = laid_out([d[0] for d in docs], max(8, min(streams * 2, int(lengths.sum() // 2000))))
     table = w["embed"] @ w["wx"] + w["b"]
     logs, h = np.zeros(len(words), np.float64), np.zeros((at.shape[1], w["wh"].shape[0]), np.float32)
     for t in range(0, len(at), 64):
@@ -220,6 +277,21 @@ def score_documents(w, vocab: Vocabulary, docs: list[tuple[np.ndarray, np.ndarra
     return np.add.reduceat(logs, np.cumsum(lengths) - lengths) / LN10
 
 
+def gradients(w, vocab: Vocabulary, x, ids, classes, on, begin, states, saved) -> tuple[dict, np.ndarray]:
+    """Of the sum of the words' negative log probabilities over a window: by weight, and of the gates' inputs."""
+    H = states.shape[2]
+    grads = {k: np.zeros_like(w[k]) for k in PARAMETERS if k != "embed"}
+    _, dout = outputs(w, vocab, states[on], ids[on], classes[on], grads)
+    dstates = np.zeros(states.shape, states.dtype)
+    dstates[on] = dout
+    dx = backward(w, states, saved, begin, dstates, grads)
+    dx[~on] = 0
+    flat = dx.reshape(-1, 3 * H)
+    grads["wx"] += x.reshape(-1, x.shape[2]).T @ flat
+    grads["b"] += flat.sum(0)
+    return grads, dx
+
+
 def train_documents(w, vocab: Vocabulary, docs: list[tuple[np.ndarray, np.ndarray]], rate: float, moments: dict) -> int:
     """Truncated backpropagation over the documents with Adagrad steps; changes ``w``; number of words."""
     at, fresh = laid_out([d[0] for d in docs], STREAMS)
@@ -231,36 +303,18 @@ def train_documents(w, vocab: Vocabulary, docs: list[tuple[np.ndarray, np.ndarra
             at, fresh, h = at[:, live], fresh[:, live], h[live]
         part, begin = at[t0 : t0 + STEPS], fresh[t0 : t0 + STEPS]
         on, ids = part >= 0, words[part]
-        T, S = part.shape
         x = w["embed"][ids]
         states, h, saved = forward(w, x @ w["wx"] + w["b"], begin, h, True)
-        grads = {k: np.zeros_like(w[k]) for k in PARAMETERS if k != "embed"}
-        _, dout = outputs(w, vocab, states[on], ids[on], classes[part[on]], grads)
-        dstates = np.zeros((T, S, H), np.float32)
-        dstates[on] = dout
-        dh, dx = np.zeros((S, H), np.float32), np.zeros((T, S, 3 * H), np.float32)
-        u = w["wh"]
-        for t in range(T - 1, -1, -1):
-            hp, z, r, rh, c = saved[t]
-            dc = dh * z * (1 - c * c)
-            dz = dh * (c - hp) * z * (1 - z)
-            drh = dc @ u[:, 2 * H :].T
-            dr = drh * hp * r * (1 - r)
-            dzr = np.concatenate([dz, dr], 1)
-            dx[t, :, : 2 * H], dx[t, :, 2 * H :] = dzr, dc
-            grads["wh"][:, : 2 * H] += hp.T @ dzr
-            grads["wh"][:, 2 * H :] += rh.T @ dc
-            dh = dh * (1 - z) + drh * r + dzr @ u[:, : 2 * H].T + dstates[t]
-            dh = np.where(begin[t][:, None], np.float32(0), dh)
-        dx[~on] = 0
+        grads, dx = gradients(w, vocab, x, ids, classes[part], on, begin, states, saved)
         flat = dx.reshape(-1, 3 * H)
-        grads["wx"] += x.reshape(-1, EMBED).T @ flat
-        grads["b"] += flat.sum(0)
         n = max(1, int(on.sum()))
         seen += n
-        rows, back = np.unique(ids, return_inverse=True)
-        e = np.zeros((len(rows), EMBED), np.float32)
-        np.add.at(e, back.ravel(), flat @ w["wx"].T)
+        # a word's rows side by side, so that they add up in one go
+        flat_ids = ids.ravel()
+        order = np.argsort(flat_ids.astype(np.uint16) if vocab.inputs < 65536 else flat_ids, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(flat_ids[order]) != 0])
+        rows = flat_ids[order][first]
+        e = np.add.reduceat((flat @ w["wx"].T)[order], first, 0)
         scale = np.float32(1 / math.sqrt(n))
         for k, g in grads.items():
             g = np.clip(g * scale, -5, 5)
@@ -353,7 +407,7 @@ def train(rows: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
 def score_corpus(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", text_of().alias("text"), held_out(HELD_REMAINDER, HELD_MODULUS).alias("held_out"))
+    rows = docs.select(*id_columns(), text_of().alias("text"), held_out(HELD_REMAINDER, HELD_MODULUS).alias("held_out"))
     training = rows.where("not held_out")
     counts = materialise(counted(training).groupBy("word", "token").agg(F.sum("n").alias("n")))
     vocab = vocabulary(counts)
@@ -361,7 +415,7 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     w = train(training, vocab)
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-chars // BUCKET_CHARS))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)))
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, set[bytes]] = {}
@@ -404,15 +458,17 @@ def score_corpus(docs: DataFrame) -> DataFrame:
             c = int(vocab.counts[i]) if i is not None else count.get(name_of(x), 0)
             facts[k] = (*vocab.place(x, c), c > 0, math.log10((c + 1) / (n + v + 1)) if c else unseen)
         inputs, classes, shares = facts[:, 0].astype(np.int32), facts[:, 1].astype(np.int32), facts[:, 2].astype(np.float32)
-        out = [(doc_id, held, len(t), int(facts[t, 3].sum()), n, math.fsum(facts[t, 4])) for doc_id, held, t in zip(texts.doc_id, texts.held_out, tokens)]
+        out = [(held, len(t), int(facts[t, 3].sum()), n, math.fsum(facts[t, 4])) for held, t in zip(texts.held_out, tokens)]
         placed = [(inputs[t], classes[t], shares[t]) for t in tokens]
-        frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
+        frame = pd.DataFrame(out, columns=["held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
+        frame.insert(0, "id", texts.id.to_numpy())
+        frame.insert(1, "no_id", texts.no_id.to_numpy())
         frame["score"] = score_documents(w, vocab, placed)
         return frame
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(score, schema)
+    schema = "id long, no_id boolean, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = rows.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(score, schema)
+    return scored.select(id_again(), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
