@@ -200,6 +200,49 @@ def test_near_odd_rows(spark):
     assert dartminhash.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_rarest_units_meet_all_similar_pairs():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    lists = []
+    for k in range(60):
+        if lists and k % 2:
+            own = lists[r.integers(len(lists))].copy()
+            own[r.integers(0, len(own), r.integers(1, 1 + len(own) // 6))] = r.integers(10**6, 10**7, 1)
+            lists.append(np.unique(own))
+        else:
+            lists.append(np.unique(r.integers(0, 80, r.integers(1, 60))))
+    owner, unit = dartminhash.prefixes(lists, 0.8)
+    own = [set(unit[owner == k]) for k in range(len(lists))]
+    similar = 0
+    for i in range(len(lists)):
+        for j in range(i):
+            both = len(np.intersect1d(lists[i], lists[j]))
+            if both >= 0.8 * (len(lists[i]) + len(lists[j]) - both):
+                similar += 1
+                assert own[i] & own[j]
+    assert similar > 10
+
+
+def test_recall_of_near_copies(spark):
+    """Pairs at 0.8 to 0.9 and above, of documents of 200 words: measured against exact similarity."""
+    r = random.Random(21)
+    texts, near = [], []
+    for k in range(120):
+        w = [f"v{r.randrange(5000)}" for _ in range(200)]
+        x = list(w)
+        for at in r.sample(range(5, 195), 1 + k % 4):
+            x[at] = "new"
+        texts += [" ".join(w), " ".join(x)]
+        a, b = ({tuple(t[i : i + 5]) for i in range(196)} for t in (w, x))
+        near.append(len(a & b) / len(a | b))
+    got = {x.doc_id: x.class_id for x in dartminhash.near_duplicates(docs(spark, texts)).collect()}
+    for lo, hi in ((0.8, 0.9), (0.9, 1.0)):
+        pairs = [k for k, s in enumerate(near) if lo <= s < hi]
+        assert len(pairs) > 20 and sum(got[2 * k] == got[2 * k + 1] for k in pairs) >= 0.97 * len(pairs)
+    assert all(got[2 * k] != got[2 * k + 1] for k, s in enumerate(near) if s < 0.8)
+
+
 def test_signatures_estimate_weighted_similarity():
     r = random.Random(5)
     a = [r.choice(WORDS) for _ in range(400)]

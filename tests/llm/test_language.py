@@ -38,6 +38,47 @@ def test_language(spark):
     assert hyperdim.identify_languages(d.limit(0)).collect() == []
 
 
+def language_by_brute_force(train, text):
+    """Sums over trigrams letter by letter, in plain loops."""
+    p = hyperdim.Profiler()
+
+    def profile(t):
+        out, letters = np.zeros(p.dim), [0]
+        for c in t:
+            point = ord(c.lower()[0]) if c.isalpha() else 0
+            if point or letters[-1]:
+                letters.append(point)
+        letters += [0] if letters[-1] else []
+        for a, b, c in zip(letters, letters[1:], letters[2:]):
+            out += np.roll(p.letter(a), 2) * np.roll(p.letter(b), 1) * p.letter(c)
+        return out / max(1e-12, np.linalg.norm(out))
+
+    langs = sorted({x for _, x in train})
+    protos = np.array([sum(profile(t) for t, x in train if x == own) for own in langs])
+    protos /= np.linalg.norm(protos, axis=1, keepdims=True)
+    protos -= protos.mean(0)
+    protos /= np.linalg.norm(protos, axis=1, keepdims=True)
+    cosines = protos @ profile(text)
+    return langs[int(cosines.argmax())], min(1.0, max(0.0, float(cosines.max())))
+
+
+def test_language_is_that_of_brute_force(spark):
+    r = random.Random(2)
+    made = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(12))
+    rows = [(i, made(a), lang) for i in range(0, 30, 3) for i, a, lang in ((i, "abcdé", "x"), (i + 1, "жзикл", "y"), (i + 2, "漢字日本", "z"))]
+    rows += [(2**60 + 1, "АБВ жзи", None), (None, "abc 字", None), (2**60 + 1, "АБВ жзи", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as id", "2 as score")
+    got = hyperdim.identify_languages(d).collect()
+    train = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    texts = {i: t for i, t, _ in rows}
+    assert sorted(str(x.doc_id) for x in got) == sorted(str(i) for i, *_ in rows)
+    for x in got:
+        want = language_by_brute_force(train, texts[x.doc_id])
+        assert x.lang_pred == want[0] and x.score == pytest.approx(want[1], abs=1e-4)
+    none = hyperdim.known_language(d.selectExpr("doc_id", "text", "cast(null as string) as lang"))
+    assert none.count() == len(rows)
+
+
 def test_lm(spark):
     d = labelled(spark)
     got = gru_lm.score_corpus(d).collect()
@@ -407,3 +448,20 @@ def test_permutation_is_one_to_one(spark):
 
     d = spark.range(0, 10_000, 1, 4).select(F.format_string("%04d", "id").alias("v"))
     assert d.select(pseudonyms.permuted_text(F.col("v"), lambda i: F.lit(False), "k", "t").alias("p")).distinct().where("p rlike '^[0-9]{4}$'").count() == 10_000
+
+
+def test_secrets_in_any_case(spark):
+    rows = docs(spark, ["Password: Abcdefgh1234", "API_KEY=abcdefgh1234", "the PASSWORD is long", "Secret: short"])
+    got = [r.text for r in pseudonyms.pseudonymise(rows).orderBy("doc_id").collect()]
+    assert "Abcdefgh1234" not in got[0] and got[0].startswith("Password: ") and "abcdefgh1234" not in got[1] and got[1].startswith("API_KEY=")
+    assert got[2:] == ["the PASSWORD is long", "Secret: short"]
+
+
+def test_pseudonyms_of_odd_rows(spark):
+    long_ = "mail a.b@example.org and " * 20_000
+    rows = [(None, "call +1 (212) 555-7713"), (2**60 + 1, "call +1 (212) 555-7713"), (2**60 + 1, "call +1 (212) 555-7713"), (3, long_), (4, ""), (5, None)]
+    got = sorted(pseudonyms.pseudonymise(docs(spark, rows)).collect(), key=lambda r: r.doc_id or 0)
+    assert [r.doc_id for r in got] == [None, 3, 4, 5, 2**60 + 1, 2**60 + 1]
+    assert got[0].text == got[4].text == got[5].text != "call +1 (212) 555-7713" and got[1].n_values == 20_000 and len(got[1].text) == len(long_)
+    assert (got[2].text, got[3].text) == ("", None)
+    assert pseudonyms.pseudonymise(docs(spark, [])).collect() == []

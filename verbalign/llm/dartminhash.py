@@ -13,9 +13,10 @@ Bands of ``ROWS`` coordinates are joined. Documents of equal content are one
 node. In a bucket, every node is paired with a centre; pairs are verified by
 their exact shingle multisets, and verified links give components. ``STARS``
 rounds pair what is outside a bucket's largest component with another of its
-nodes. Where a bucket still has several components, all pairs across them are
-compared, in blocks: by signature, then by multiset. So no link of a bucket is
-lost, and thousands of copies cost thousands of rows, not millions.
+nodes. Where a bucket still has several components, pairs across them are met by
+an index of each node's rarest units, which loses no pair at the similarity, in
+blocks, and decided by multiset. So no link of a bucket is lost, and thousands of
+copies cost thousands of rows, not millions.
 
 Defined results: texts without a word (null, empty, punctuation) are classes of
 their own; rows that repeat a doc_id are one document; a null doc_id counts as
@@ -48,8 +49,6 @@ BATCH_BYTES = 1_200_000
 FRACTION = 2.0**-53
 STARS = 2
 BLOCK = 1024
-#: Signatures of a pair at the similarity agree on this much less in fewer than 1 of 100,000 cases.
-SLACK = 0.15
 BROADCAST_IDS = 1_000_000  # 8 MB
 
 
@@ -140,18 +139,17 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def node_table(rows: DataFrame) -> DataFrame:
-    """doc, list (the exact unit multiset), sig (the signature) of each row of (doc, text)."""
+    """doc, list (the exact unit multiset) of each row of (doc, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             ids = f.doc.to_numpy()
             for i, j, blobs in groups_of(list(f.text)):
                 doc, unit = units_of(blobs)
-                sig = signatures(doc, unit, j - i).astype(np.uint32)
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
-                yield pd.DataFrame({"doc": ids[i:j], "list": [unit[cut[k] : cut[k + 1]].view(np.int64) for k in range(j - i)], "sig": [x.tobytes() for x in sig]})
+                yield pd.DataFrame({"doc": ids[i:j], "list": [unit[cut[k] : cut[k + 1]].view(np.int64) for k in range(j - i)]})
 
-    return rows.mapInPandas(run, "doc long, list array<long>, sig binary")
+    return rows.mapInPandas(run, "doc long, list array<long>")
 
 
 def verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
@@ -164,31 +162,51 @@ def verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame
     return materialise(both.where(F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("u", "v"))
 
 
+def prefixes(lists: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and unit of each list's rarest units, so many that two lists at the similarity share one of them.
+
+    Such lists have at least similarity * size units in common, so not all of
+    these can be among a list's size - similarity * size last ones.
+    """
+    size = np.array([len(x) for x in lists])
+    unit, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), size)
+    _, back, count = np.unique(unit, return_inverse=True, return_counts=True)
+    order = np.lexsort((unit, count[back], owner))
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+    most = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    use = order[(rank < most[owner[order]]) & (count[back[order]] > 1)]
+    return owner[use], unit[use]
+
+
 def block_links(members: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) that join the components of a bucket, by comparing all pairs across them.
+    """Links (u, v) that join the components of a bucket: of all pairs across them, those at the similarity.
 
-    ``members``: key, node, comp, sig, list. A bucket is compared by blocks of
-    BLOCK nodes, two blocks in a task. Signatures rule most pairs out, the exact
-    multisets decide on the others, and only links between what is still apart
-    in the task leave it: fewer than there are nodes.
+    ``members``: key, node, comp, list. A bucket is worked through by blocks of
+    BLOCK nodes, two blocks in a task. In a task, pairs are met by an index of
+    their rarest units, which loses none, and the exact multisets decide; only
+    links between what is still apart leave it: fewer than there are nodes.
     """
-    low = similarity - SLACK
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     m = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "sig", "list")
+    m = m.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "list")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(f.sig), np.uint32).reshape(len(f), K)
         node, block, lists = f.node.to_numpy(), f.block.to_numpy(), [np.sort(x) for x in f.list]
         _, root = np.unique(f.comp.to_numpy(), return_inverse=True)
         size = np.array([len(x) for x in lists])
         apart, out = f.i.iloc[0] != f.j.iloc[0], []
+        owner, unit = prefixes(lists, similarity)
+        met: dict[int, list[int]] = {}
+        cuts = np.searchsorted(owner, np.arange(len(f) + 1))
         for k in range(len(f)):
-            rest = np.flatnonzero((root[k + 1 :] != root[k]) & (~apart | (block[k + 1 :] != block[k]))) + k + 1
+            own = unit[cuts[k] : cuts[k + 1]].tolist()
+            rest = np.array(sorted({o for u in own for o in met.get(u, ())}), np.int64)
+            for u in own:
+                met.setdefault(u, []).append(k)
+            rest = rest[(root[rest] != root[k]) & (~apart | (block[rest] != block[k]))]
             # sizes alone rule a pair out, too
-            rest = rest[np.minimum(size[rest], size[k]) >= similarity * np.maximum(size[rest], size[k])]
-            for o in rest[(sig[rest] == sig[k]).mean(1) >= low]:
+            for o in rest[np.minimum(size[rest], size[k]) >= similarity * np.maximum(size[rest], size[k])]:
                 if root[o] == root[k]:
                     continue
                 both = len(np.intersect1d(lists[o], lists[k], assume_unique=True))
@@ -209,7 +227,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     buckets = materialise(every.join(every.groupBy("key").count().where("count > 1").select("key"), "key").select("key", "node"))
     own = materialise(buckets.select(F.col("node").alias("doc")).distinct())
     few = own.count() <= BROADCAST_IDS
-    table = materialise(node_table(rows.join(F.broadcast(own) if few else own, "doc", "left_semi")).groupBy("doc").agg(F.any_value("list").alias("list"), F.any_value("sig").alias("sig")))
+    table = materialise(node_table(rows.join(F.broadcast(own) if few else own, "doc", "left_semi")).groupBy("doc").agg(F.any_value("list").alias("list")))
     links = comp = None
     for r in range(STARS):
         at = buckets.withColumn("comp", F.col("node")) if comp is None else buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
@@ -225,7 +243,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         release(docs.sparkSession)
     at = buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     still = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
-    members = at.join(still.select("key"), "key").join(table.select(F.col("doc").alias("node"), "sig", "list"), "node")
+    members = at.join(still.select("key"), "key").join(table.select(F.col("doc").alias("node"), "list"), "node")
     more = materialise(block_links(members, similarity))
     if not more.isEmpty():
         comp = components(links.unionByName(more))

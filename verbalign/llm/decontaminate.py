@@ -294,9 +294,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             indexes = build(items, statistics)
             for b in batches:
                 best = leaks_in(indexes, list(b.text), threshold, overlap)
-                found = pd.DataFrame(list(best.values()), columns=names)
-                found["no_item"] = found["item_id"].isnull()
-                found["item_id"] = [i or 0 for i in found["item_id"]] if found["no_item"].any() else found["item_id"]
+                # ids stay out of a column with nulls, which would make them doubles
+                out = [(item or 0, item is None, *rest) for item, *rest in best.values()]
+                found = pd.DataFrame(out, columns=["item_id", "no_item", *names[1:]])
                 at = [d for d, *_ in best]
                 found["id"], found["no_id"] = b.id.to_numpy()[at], b.no_id.to_numpy()[at]
                 yield found

@@ -75,11 +75,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def first_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, whole, that stay: of equal texts the largest doc_id."""
-    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    """The rows of ``docs``, whole, that stay: of equal texts the largest doc_id, of rows that share that too any one."""
+    stay = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__n"))
+    stay = materialise(stay)
     keyed = docs.withColumn("__norm", F.sha2(fold_ascii(text_of()), 256))
-    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__norm") == F.col("__sha")), "left_semi")
-    return kept.drop("__norm")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__norm") == F.col("__sha"))
+    if stay.where("__n > 1").isEmpty():
+        return keyed.join(stay, same, "left_semi").drop("__norm")
+    single = keyed.join(stay.where("__n = 1"), same, "left_semi")
+    return single.unionByName(keyed.join(stay.where("__n > 1"), same, "left_semi").dropDuplicates(["doc_id", "__norm"])).drop("__norm")
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,12 +7,15 @@ language's prototype bundles the unit profiles of its labelled texts. What all
 languages have in common, the prototypes' mean, is taken off; a text gets the
 language whose prototype has the largest cosine with its profile.
 
-Letters are case-folded; anything else separates words. Letters other than a-z
-share 37 codes by a fixed hash, so that any script works in bounded memory.
+Letters of any script are lower-cased and have a vector of their own; anything
+else separates words. A letter's vector follows from its code point, so nothing
+has to be sent or agreed on.
 
 Defined results: text without a letter (null, empty, digits) is ``und`` with
-score 0; without labelled training texts every text is ``und``; a null doc_id is
-trained and scored as the empty id; ties go to the first language in order.
+score 0; without labelled training texts every text is ``und``, and the pipeline's
+stage keeps what has a letter; a null doc_id is trained and scored as the empty
+id and stays null; rows that repeat are done each; ties go to the first language
+in order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,51 +27,64 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, id_again, id_columns
 
 DIM = 1024
-CODES = 64
+BITS = 21  # of a code point
 #: Labels are a vocabulary, not data; more of them than this is an error, not a cut.
 MAX_LANGUAGES = 4096
 UNKNOWN = "und"
 
 
 def letter_codes() -> np.ndarray:
-    """Code of every code point: 0 no letter, 1-26 a-z, 27-63 others by hash."""
+    """Of every code point: 0 if it is no letter, else the code point of the letter in lower case."""
     table = np.zeros(0x110000, np.int32)
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            table[point] = low - 96 if 97 <= low <= 122 else 27 + ((low * 2654435761) >> 8) % (CODES - 27)
+            table[point] = ord(c.lower()[0])
     return table
 
 
 class Profiler:
-    """Texts to profile vectors. Trigram vectors are made when first met."""
+    """Texts to profile vectors. Vectors of letters and trigrams are made when first met."""
 
     ROWS = 24_000  # of the trigram cache: 100 MB
 
     def __init__(self, dim: int = DIM, seed: int = 8):
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (CODES, dim))
-        self.first, self.second, self.third = np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters
-        self.dim, self.table = dim, letter_codes()
+        self.dim, self.seed, self.table = dim, seed, letter_codes()
+        self.known: dict[int, np.ndarray] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.place = np.full(CODES**3, -1, np.int32)
+        self.keys, self.place = np.empty(0, np.int64), np.empty(0, np.int64)  # sorted trigrams, and their rows
         self.rows, self.used = np.empty((0, self.dim), np.float32), 0
 
+    def letter(self, point: int) -> np.ndarray:
+        """The letter's own random vector of +1 and -1; 0 stands for a word's edge."""
+        if point not in self.known:
+            self.known[point] = np.random.default_rng((self.seed, point)).choice(np.array([-1, 1], np.float32), self.dim)
+        return self.known[point]
+
     def vectors(self, grams: np.ndarray) -> np.ndarray:
-        return self.first[grams // CODES**2] * self.second[grams // CODES % CODES] * self.third[grams % CODES]
+        """Bound trigrams: the first letter's vector rolled by two, the second's by one, the third's as it is."""
+        out = np.ones((len(grams), self.dim), np.float32)
+        for shift in (2, 1, 0):
+            points, back = np.unique(grams >> (BITS * shift) & (2**BITS - 1), return_inverse=True)
+            out *= np.roll(np.stack([self.letter(int(p)) for p in points]), shift, 1)[back]
+        return out
 
     def grams(self, text: str) -> np.ndarray:
         c = self.table[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
         c = c[(c != 0) | np.r_[False, c[:-1] != 0]] if len(c) else c
         if not c.any():
-            return np.empty(0, np.int32)
-        c = np.r_[0, c, 0] if c[-1] else np.r_[0, c]
-        return (c[:-2] * CODES + c[1:-1]) * CODES + c[2:]
+            return np.empty(0, np.int64)
+        c = (np.r_[0, c, 0] if c[-1] else np.r_[0, c]).astype(np.int64)
+        return (c[:-2] << (2 * BITS)) + (c[1:-1] << BITS) + c[2:]
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, grams), max(0, len(self.keys) - 1))
+        return at, self.keys[at] == grams if len(self.keys) else np.zeros(len(grams), bool)
 
     def profiles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A profile for each text, and whether it has a letter."""
@@ -82,7 +98,7 @@ class Profiler:
         for at in range(0, len(todo), 64):
             part = todo[at : at + 64]
             every = np.unique(np.concatenate([g for _, g, _ in part]))
-            new = every[self.place[every] < 0]
+            new = every[~self.find(every)[1]]
             if self.used + len(new) > self.ROWS:
                 self.clear()
                 new = every
@@ -97,11 +113,13 @@ class Profiler:
                     grown[: self.used] = self.rows[: self.used]
                     self.rows = grown
                 self.rows[self.used : self.used + len(new)] = self.vectors(new)
-                self.place[new] = np.arange(self.used, self.used + len(new))
+                keys = np.r_[self.keys, new]
+                order = np.argsort(keys, kind="stable")
+                self.keys, self.place = keys[order], np.r_[self.place, np.arange(self.used, self.used + len(new))][order]
                 self.used += len(new)
             counts = np.zeros((len(part), self.used), np.float32)
             for k, (_, g, n) in enumerate(part):
-                counts[k, self.place[g]] = n
+                counts[k, self.place[self.find(g)[0]]] = n
             out[[i for i, _, _ in part]] = counts @ self.rows[: self.used]
         return out, lettered
 
@@ -143,7 +161,7 @@ def learn(labelled: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
 
 
 def predict(docs: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred, score of every row of (doc_id, text)."""
+    """doc_id, held_out, lang_pred, score of every row of (id, no_id, text, held_out)."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiler = Profiler(protos.shape[1])
@@ -157,20 +175,21 @@ def predict(docs: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
                 best = cosines.argmax(1)
                 names += [langs[k] if ok else UNKNOWN for k, ok in zip(best, lettered)]
                 scores += [float(min(1, max(0, c[k]))) if ok else 0.0 for c, k, ok in zip(cosines, best, lettered)]
-            yield pd.DataFrame({"doc_id": b.doc_id, "held_out": b.held_out, "lang_pred": names, "score": scores})
+            yield pd.DataFrame({"id": b.id.to_numpy(), "no_id": b.no_id.to_numpy(), "held_out": b.held_out.to_numpy(), "lang_pred": names, "score": scores})
 
-    return docs.mapInPandas(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    made = docs.mapInPandas(score, "id long, no_id boolean, held_out boolean, lang_pred string, score double")
+    return made.select(id_again(), "held_out", "lang_pred", "score")
 
 
 def identify_languages(docs: DataFrame, modulus: int = 3, remainder: int = 1) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", held_out(remainder, modulus).alias("held_out"))
+    d = docs.select(*id_columns(), F.coalesce("text", F.lit("")).alias("text"), "lang", held_out(remainder, modulus).alias("held_out"))
     langs, protos = learn(d.where("not held_out and lang is not null and text <> ''"))
-    return predict(d.select("doc_id", "text", "held_out"), langs, protos)
+    return predict(d.select("id", "no_id", "text", "held_out"), langs, protos)
 
 
 def known_language(docs: DataFrame, modulus: int = 3, remainder: int = 1) -> DataFrame:
-    """The rows of ``docs``, whole, whose text has a language: all but ``und``."""
+    """The rows of ``docs``, whole, whose text has a language: all but ``und``. Without labels: whose text has a letter."""
     d = docs.select(F.coalesce("text", F.lit("")).alias("text"), "lang", held_out(remainder, modulus).alias("held_out"))
     langs, _ = learned = learn(d.where("not held_out and lang is not null and text <> ''"))
 
@@ -184,7 +203,7 @@ def known_language(docs: DataFrame, modulus: int = 3, remainder: int = 1) -> Dat
             for at in range(0, len(texts), 512):
                 x, lettered = profiler.profiles(texts[at : at + 512])
                 best = (unit(x) @ learned[1].T).argmax(1) if langs else []
-                names = [langs[k] for k in best] if langs else [UNKNOWN] * len(x)
+                names = [langs[k] for k in best] if langs else [""] * len(x)
                 ok += [has and name != UNKNOWN for has, name in zip(lettered.tolist(), names)]
             yield b.filter(pa.array(ok, pa.bool_()))
 

@@ -71,7 +71,7 @@ def shard_name(shard: int) -> str:
 
 
 def write_training_order(docs: DataFrame, out_dir: str | None = None, key: int = KEY, length: int = LENGTH, per_shard: int = PER_SHARD, tokenizer: str | None = None) -> DataFrame:
-    """Write the shards; one row per sequence: slot, sequence_id, shard, byte_offset, n_ids, ids_crc32.
+    """Write the shards; one row per sequence: slot, sequence_id, shard, byte_offset, n_ids, ids_crc32, path of the shard.
 
     The result is the written shards' manifest. ``out_dir`` must be shared by all executors.
     """
@@ -152,7 +152,9 @@ def write_training_order(docs: DataFrame, out_dir: str | None = None, key: int =
         end_shard()
         yield pd.DataFrame(made, columns=MANIFEST)
 
-    return dealt.mapInPandas(write, "slot long, sequence_id long, shard long, byte_offset long, n_ids long, ids_crc32 long")
+    made = dealt.mapInPandas(write, "slot long, sequence_id long, shard long, byte_offset long, n_ids long, ids_crc32 long")
+    path = F.concat(F.lit(f"{out_dir.rstrip('/')}/shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin"))
+    return made.withColumn("path", path)
 
 
 MANIFEST = ["slot", "sequence_id", "shard", "byte_offset", "n_ids", "ids_crc32"]

@@ -40,7 +40,7 @@ WALK = 200  # steps; a format's valid share is 0.16 at least, so this is never r
 
 PATTERNS = {
     "email": r"[A-Za-z0-9_][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?:password|passwd|secret|token|api[_-]?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_/+-]{8,}+",
+    "secret": r"(?i:password|passwd|secret|token|api[_-]?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_/+-]{8,}+",
     "access": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2})(?![0-9A-Za-z])",
