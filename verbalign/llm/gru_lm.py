@@ -58,6 +58,21 @@ def name_of(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - 2**63
 
 
+class Numbered(dict):
+    """Words to numbers in order of their first look-up."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Known(dict):
+    """Words to numbers; -1 for any other."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Vocabulary:
     """Classes of words. ``listed``: (word, count) of the LISTED most frequent words seen SURE times at least."""
 
@@ -274,18 +289,21 @@ def score_documents(w, vocab: Vocabulary, docs: list[tuple[np.ndarray, np.ndarra
         if not live.all():  # streams that have ended leave
             at, fresh, h = at[:, live], fresh[:, live], h[live]
     logs += shares
-    return np.add.reduceat(logs, np.cumsum(lengths) - lengths) / LN10
+    return np.minimum(np.add.reduceat(logs, np.cumsum(lengths) - lengths) / LN10, 0.0)
 
 
 def gradients(w, vocab: Vocabulary, x, ids, classes, on, begin, states, saved) -> tuple[dict, np.ndarray]:
     """Of the sum of the words' negative log probabilities over a window: by weight, and of the gates' inputs."""
     H = states.shape[2]
     grads = {k: np.zeros_like(w[k]) for k in PARAMETERS if k != "embed"}
-    _, dout = outputs(w, vocab, states[on], ids[on], classes[on], grads)
-    dstates = np.zeros(states.shape, states.dtype)
-    dstates[on] = dout
-    dx = backward(w, states, saved, begin, dstates, grads)
-    dx[~on] = 0
+    if on.all():
+        dstates = outputs(w, vocab, states.reshape(-1, H), ids.ravel(), classes.ravel(), grads)[1].reshape(states.shape)
+        dx = backward(w, states, saved, begin, dstates, grads)
+    else:
+        dstates = np.zeros(states.shape, states.dtype)
+        dstates[on] = outputs(w, vocab, states[on], ids[on], classes[on], grads)[1]
+        dx = backward(w, states, saved, begin, dstates, grads)
+        dx[~on] = 0
     flat = dx.reshape(-1, 3 * H)
     grads["wx"] += x.reshape(-1, x.shape[2]).T @ flat
     grads["b"] += flat.sum(0)
@@ -370,7 +388,7 @@ def averaged(trained: DataFrame, shapes: dict[str, tuple]) -> dict[str, np.ndarr
     got: dict[str, list] = {}
     for r in sorted(blocks.collect(), key=lambda r: (r.name, r.block)):
         got.setdefault(r.name, []).append(np.array(r.v, np.float32))
-    return {k: np.concatenate(got[k]).reshape(s) for k, s in shapes.items()} if got else {}
+    return {k: np.concatenate(got[k]).reshape(s) if k in got else np.zeros(s, np.float32) for k, s in shapes.items()} if got else {}
 
 
 def train(rows: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
@@ -382,10 +400,11 @@ def train(rows: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
 
         def run(batches: Iterator[pd.DataFrame], w=w, round_=round_) -> Iterator[pd.DataFrame]:
             own, moments, seen, part, size = {k: v.copy() for k, v in w.items()}, {}, 0, [], 0
-            inputs, classes, find = np.r_[vocab.input_of, vocab.inputs - 1].astype(np.int32), np.r_[vocab.class_of, vocab.rare].astype(np.int32), vocab.index.get
+            inputs, classes, find = np.r_[vocab.input_of, vocab.inputs - 1].astype(np.int32), np.r_[vocab.class_of, vocab.rare].astype(np.int32), Known(vocab.index).__getitem__
             for b in batches:
                 for t in b.text:
-                    k = np.array([find(x, -1) for x in words_in(t)])  # -1: the rare class, the last of both
+                    words = words_in(t)
+                    k = np.fromiter(map(find, words), np.int32, len(words))  # -1: the rare class, the last of both
                     part.append((inputs[k], classes[k]))
                     size += len(k)
                     if size > 1_500_000:  # so many that a long document leaves no streams idle
@@ -396,6 +415,8 @@ def train(rows: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
             if seen:
                 for k, v in own.items():
                     flat = v.ravel()
+                    if not len(flat):
+                        continue
                     cuts = range(0, len(flat), block)
                     yield pd.DataFrame({"name": k, "block": [c // block for c in cuts], "seen": float(seen), "part": [flat[c : c + block].astype(np.float64) for c in cuts]})
 
@@ -446,11 +467,10 @@ def score_corpus(docs: DataFrame) -> DataFrame:
         count = dict(zip(counts.word.tolist(), counts.n.tolist()))
         n, v = vocab.total, vocab.types
         unseen = math.log10(1 / (n + v + 1))
-        index: dict[bytes, int] = {}
-        tokens = []
+        index, tokens = Numbered(), []
         for text in texts.text:
             words = words_in(text)
-            tokens.append(np.fromiter((index.setdefault(x, len(index)) for x in words), np.int32, len(words)))
+            tokens.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
         # by distinct word of the bucket: input, class, share, known, base
         facts = np.empty((len(index), 5))
         for k, x in enumerate(index):
@@ -458,7 +478,7 @@ def score_corpus(docs: DataFrame) -> DataFrame:
             c = int(vocab.counts[i]) if i is not None else count.get(name_of(x), 0)
             facts[k] = (*vocab.place(x, c), c > 0, math.log10((c + 1) / (n + v + 1)) if c else unseen)
         inputs, classes, shares = facts[:, 0].astype(np.int32), facts[:, 1].astype(np.int32), facts[:, 2].astype(np.float32)
-        out = [(held, len(t), int(facts[t, 3].sum()), n, math.fsum(facts[t, 4])) for held, t in zip(texts.held_out, tokens)]
+        out = [(held, len(t), int(facts[t, 3].sum()), n, float(facts[t, 4].sum())) for held, t in zip(texts.held_out, tokens)]
         placed = [(inputs[t], classes[t], shares[t]) for t in tokens]
         frame = pd.DataFrame(out, columns=["held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
         frame.insert(0, "id", texts.id.to_numpy())
