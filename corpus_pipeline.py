@@ -5,6 +5,13 @@ as Parquet and read again as the next stage's docs. All but the last return the
 columns of ``documents``. Rows are dropped only by a stage's own decision: text
 without a letter has no language; of equal texts the largest doc_id stays and of
 near copies the smallest; a document that holds a benchmark item goes.
+
+Defined results: null and empty texts have no letter and go; without labels the
+language stage keeps every text with a letter; of rows that share id and text one
+stays; rows that share only an id are judged each by their text, but count as one
+document among near copies; a null doc_id comes before all others there and stays
+null; a null source is the source ''; other columns pass through all but the last
+stage; no documents give no rows.
 """
 
 from __future__ import annotations
