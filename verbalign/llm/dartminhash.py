@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, release, text_of
+from .common import documents, join_groups, materialise, release, text_of
 from .components import components
 from .recompression import NULL_ID
 from .words import U, mix, spaced, word_names
@@ -50,6 +50,7 @@ FRACTION = 2.0**-53
 STARS = 2
 BLOCK = 1024
 BROADCAST_IDS = 1_000_000  # 8 MB
+SPLIT = 4096  # members that meet one copy of their centre's list
 
 
 def units_of(blobs: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -155,9 +156,13 @@ def node_table(rows: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
     """Of the pairs (u, v), those at or above the similarity. A table."""
     left = table.select(F.col("doc").alias("u"), F.col("list").alias("a"))
-    right = table.select(F.col("doc").alias("v"), F.col("list").alias("b"))
-    # the many members bring their lists to the few centres, not the other way round
-    both = pairs.join(left, "u").join(right, "v")
+    # the many members bring their lists to the few centres, not the other way round; a centre
+    # of many members has a copy of its list for each SPLIT of them
+    centres = pairs.groupBy("v").agg(F.count("*").alias("n"))
+    copies = F.ceil(F.col("n") / SPLIT)
+    right = table.join(centres, table.doc == centres.v).select("v", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"), F.col("list").alias("b"))
+    dealt = join_groups(pairs, centres, "v", "n").select("u", "v", F.pmod(F.xxhash64("u"), copies).alias("copy"))
+    both = dealt.join(left, "u").join(right, ["v", "copy"])
     both = both.select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"))
     return materialise(both.where(F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("u", "v"))
 
@@ -181,13 +186,13 @@ def prefixes(lists: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np
 def block_links(members: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) that join the components of a bucket: of all pairs across them, those at the similarity.
 
-    ``members``: key, node, comp, list. A bucket is worked through by blocks of
+    ``members``: key, node, comp, list, n (the bucket's nodes). A bucket is worked through by blocks of
     BLOCK nodes, two blocks in a task. In a task, pairs are met by an index of
     their rarest units, which loses none, and the exact multisets decide; only
     links between what is still apart leave it: fewer than there are nodes.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    m = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    m = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "list")
 
@@ -222,9 +227,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """doc_id, class_id, class_size, kept: one row per document; the smallest doc_id of a class is kept."""
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), text_of().alias("text"))
     sk = materialise(sketches(rows))
-    nodes = sk.where("units > 0").groupBy("c1", "c2").agg(F.min("doc").alias("node"), F.any_value("bands").alias("bands"))
+    nodes = materialise(sk.where("units > 0").groupBy("c1", "c2").agg(F.min("doc").alias("node"), F.any_value("bands").alias("bands")))
     every = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = materialise(every.join(every.groupBy("key").count().where("count > 1").select("key"), "key").select("key", "node"))
+    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = materialise(join_groups(every, shared, "key", "n").select("key", "node"))
     own = materialise(buckets.select(F.col("node").alias("doc")).distinct())
     few = own.count() <= BROADCAST_IDS
     table = materialise(node_table(rows.join(F.broadcast(own) if few else own, "doc", "left_semi")).groupBy("doc").agg(F.any_value("list").alias("list")))
@@ -233,8 +239,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         at = buckets.withColumn("comp", F.col("node")) if comp is None else buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         # a star's centre is of the bucket's largest component, another one in each round
         sizes = at.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min_by("node", F.struct(F.xxhash64("node", F.lit(r)) if r else F.lit(0), "node")).alias("centre"))
-        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max_by("centre", F.struct("n", -F.col("comp"))).alias("centre"), F.count("*").alias("comps")).where("comps > 1")
-        pairs = at.join(main, "key").where("comp <> main").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
+        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max_by("centre", F.struct("n", -F.col("comp"))).alias("centre"), F.count("*").alias("comps"), F.sum("n").alias("all")).where("comps > 1")
+        pairs = join_groups(at, main, "key", "all").where("comp <> main").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
         found = verified(materialise(pairs), table, similarity)
         links = found if links is None else links.unionByName(found)
         if r and found.isEmpty():
@@ -243,16 +249,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         release(docs.sparkSession)
     at = buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     still = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
-    members = at.join(still.select("key"), "key").join(table.select(F.col("doc").alias("node"), "list"), "node")
+    members = join_groups(at, still.select("key", "n"), "key", "n").join(table.select(F.col("doc").alias("node"), "list"), "node")
     more = materialise(block_links(members, similarity))
     if not more.isEmpty():
         comp = components(links.unionByName(more))
     release(docs.sparkSession)
-    label = nodes.select("c1", "c2", "node").join(comp, "node", "left").select("c1", "c2", F.coalesce("comp", "node").alias("class"))
-    out = materialise(sk.select("doc", "c1", "c2").join(label, ["c1", "c2"], "left").select("doc", F.coalesce("class", "doc").alias("class")))
+    content = F.struct("c1", "c2").alias("content")
+    copies = sk.where("units > 0").groupBy("c1", "c2").agg(F.count("*").alias("n"))
+    label = nodes.select("c1", "c2", "node").join(comp, "node", "left").join(copies, ["c1", "c2"]).select(content, F.coalesce("comp", "node").alias("class"), "n")
+    out = join_groups(sk.where("units > 0").select("doc", content), label, "content", "n").select("doc", "class")
+    out = materialise(out.unionByName(sk.where("units = 0").select("doc", F.col("doc").alias("class"))))
     size = out.groupBy("class").agg(F.count("*").alias("class_size"))
     named = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.join(size, "class").select(named("doc").alias("doc_id"), named("class").alias("class_id"), "class_size", (F.col("doc") == F.col("class")).alias("kept"))
+    return join_groups(out, size, "class", "class_size").select(named("doc").alias("doc_id"), named("class").alias("class_id"), "class_size", (F.col("doc") == F.col("class")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
