@@ -276,3 +276,19 @@ def test_components(spark, share):
 def test_word_names_part_at_ascii_space():
     names, counts = word_names([b"a b\tc\x0bd", b"", "x y \x1c".encode(), b"a"])
     assert counts.tolist() == [4, 0, 2, 1] and names[0] == names[-1] and len(set(names.tolist())) == 6
+
+
+def test_near_duplicates_of_hot_groups(spark, monkeypatch):
+    """A text with 1,500 copies and another with 1,300 changed copies, beside texts of their own: classes as they were made."""
+    monkeypatch.setattr(dartminhash, "SPLIT", 100)
+    words = lambda name: [f"{name}{i}" for i in range(60)]
+    rows = [(k, " ".join(words("same"))) for k in range(1500)]
+    rows += [(10_000 + k, " ".join([*words("near"), f"end{k}"])) for k in range(1300)]
+    rows += [(20_000 + k, " ".join(words(f"own{k}x"))) for k in range(40)]
+    rows += [(30_000, None), (30_001, ""), (30_002, "...")]
+    got = {r.doc_id: (r.class_id, r.class_size, r.kept) for r in dartminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {}
+    for k, _ in rows:
+        first, size = (0, 1500) if k < 1500 else (10_000, 1300) if k < 20_000 else (k, 1)
+        want[k] = (first, size, k == first)
+    assert got == want
