@@ -44,11 +44,13 @@ def parser() -> argparse.ArgumentParser:
 
     def screen(c: argparse.ArgumentParser) -> None:
         c.add_argument("--reader", help="module:factory")
+        c.add_argument("--frames", help="module:factory of a source of frames; without one the reader fetches its own")
+        c.add_argument("--fixed-region", action="store_true", help="read the bottom band, without looking for where the text is")
         c.add_argument("--ocr-language")
         c.add_argument("--crop-ratio", type=float, default=0.15)
         c.add_argument("--window-seconds", type=float, default=0.35)
-        c.add_argument("--samples", type=int, default=3)
-        c.add_argument("--effort", choices=tuple(EFFORTS), default="balanced")
+        c.add_argument("--samples", "--samples-per-segment", type=int, default=3)
+        c.add_argument("--effort", "--ocr-effort", choices=tuple(EFFORTS), default="balanced")
 
     def scores(c: argparse.ArgumentParser) -> None:
         c.add_argument("--threshold", type=float, default=0.80)
@@ -116,8 +118,10 @@ def dispatch(args: argparse.Namespace, spark) -> int:
     if args.command in ("ocr", "run"):
         check_crop_ratio(args.crop_ratio)
     hears = {k: getattr(args, k, None) for k in ("language", "model", "beam_size", "temperature", "compute_type", "device", "cpu_threads", "no_vad")}
-    sees = {k: getattr(args, k, None) for k in ("ocr_language", "crop_ratio")}
+    sees = {k: getattr(args, k, None) for k in ("ocr_language", "crop_ratio", "fixed_region")}
     look = {k: getattr(args, o, None) for k, o in (("effort", "effort"), ("window", "window_seconds"), ("samples", "samples"))}
+    if args.command in ("ocr", "run"):
+        look |= {"source": named_engine(args.frames, "frames", sees) if args.frames else None, "ratio": args.crop_ratio, "dynamic": not args.fixed_region}
     if args.command == "transcribe":
         files = S.media_files(spark, args.media, args.recursive, args.include_all_files)
         said, failed = pipeline.attempt(files, named_engine(args.recogniser, "recogniser", hears))
@@ -159,7 +163,7 @@ def dispatch(args: argparse.Namespace, spark) -> int:
             sinks.write_pages(rows, C.summarize(rows), f"{out}/pages")
         meta = {"command": args.command, "threshold": args.threshold, "tolerance": args.tolerance, "context": args.context, "failures": failures, "total_seconds": round(time.time() - began, 3)}
         if args.command == "run":
-            meta |= {"settings": settings_of(hears), "screen_settings": settings_of({**sees, **look})}
+            meta |= {"settings": settings_of(hears), "screen_settings": settings_of({**sees, **look, "source": args.frames})}
         sinks.write_manifest(Path(out) / S.MANIFEST, meta, {k: f"{out}/{k}" for k in ("rows", "csv", "json", "summary")})
     else:
         rows = spark.read.parquet(f"{args.results.rstrip('/')}/rows")
@@ -193,7 +197,7 @@ def run(args: argparse.Namespace, spark, p: CompareParams, hears: dict, sees: di
         except (OSError, ValueError, KeyError):
             earlier = {}
     same = S.metadata_matches({"metadata": earlier.get("settings")}, settings_of(hears))
-    same_look = same and S.metadata_matches({"metadata": earlier.get("screen_settings")}, settings_of({**sees, **look}))
+    same_look = same and S.metadata_matches({"metadata": earlier.get("screen_settings")}, settings_of({**sees, **look, "source": args.frames}))
     folder = lambda name: f"{out}/stages/{name}"
     stored = lambda name: Path(folder(name), "_SUCCESS").exists()
     media, failed = S.media_files(spark, args.media, args.recursive, args.include_all_files), None
@@ -218,6 +222,11 @@ def run(args: argparse.Namespace, spark, p: CompareParams, hears: dict, sees: di
     elif same_look and stored("screen"):
         shown = spark.read.parquet(folder("screen"))
     else:
+        if look["source"]:
+            from .sources import adapters
+
+            for bare in adapters.find_captions(media, look["source"], args.crop_ratio).where("not captioned").orderBy("media_id").limit(20).collect():
+                print(f"warning: {bare.media_id}: no text in the frames looked at", file=sys.stderr)
         shown = pipeline.screen(said, named_engine(args.reader, "reader", sees), **look)
         shown.write.mode("overwrite").parquet(folder("screen"))
         shown = spark.read.parquet(folder("screen"))

@@ -28,10 +28,15 @@ def filter_words(words: DataFrame, *keys: str) -> DataFrame:
     return out.select(*keys, F.array_join("w.word", " ").alias("text"), "confidence")
 
 
-def effort_grid(spark, effort: str) -> DataFrame:
+def tries(effort: str) -> list[tuple[str, int, int]]:
     """variant, psm, ordinal of an effort, in the order in which they are tried."""
     variants, modes = EFFORTS[check_effort(effort)]
-    return spark.createDataFrame([(v, m, i * len(modes) + j) for i, v in enumerate(variants) for j, m in enumerate(modes)], "variant string, psm int, ordinal int")
+    return [(v, m, i * len(modes) + j) for i, v in enumerate(variants) for j, m in enumerate(modes)]
+
+
+def effort_grid(spark, effort: str) -> DataFrame:
+    """The tries of an effort as a table."""
+    return spark.createDataFrame(tries(effort), "variant string, psm int, ordinal int")
 
 
 def best_variant(readings: DataFrame, *keys: str, language: str = MULTI) -> DataFrame:
@@ -75,15 +80,17 @@ def best_frame(frames: DataFrame, language: str = MULTI) -> DataFrame:
     """Frames (segment keys, frame, ts, text, confidence, sharpness, readable, audio_text) to one row per segment.
 
     The best frame by confidence, sharpness, script and likeness to the speech;
-    then merged with the other frames' texts where that says more.
+    then merged with the other frames' texts where that says more. Frames'
+    crop_region and ocr_variant, if they have them, are told for the best one.
     """
     keys = ["media_id", "id"]
+    told = [c for c in ("crop_region", "ocr_variant") if c in frames.columns]
     text = F.coalesce(F.col("text"), F.lit(""))
     f = frames.where("readable").withColumn("like", transcript_similarity(F.col("audio_text"), F.col("text")))
     quality = F.coalesce(F.col("confidence"), F.when(text != "", 0.02).otherwise(0.0)) + F.least(F.col("sharpness") / 10000, F.lit(0.08)) + script_ratio(text, language) * 0.10 + F.col("like") * 0.70
     f = f.withColumn("quality", quality)
     best = f.groupBy(*keys).agg(
-        F.max_by(F.struct(text.alias("text"), "confidence", "ts", "like"), F.struct("quality", -F.col("frame"))).alias("b"),
+        F.max_by(F.struct(text.alias("text"), "confidence", "ts", "like", *told), F.struct("quality", -F.col("frame"))).alias("b"),
         F.array_sort(F.collect_list(F.when(strip(text) != "", F.struct("frame", strip(text).alias("t"))))).alias("all"),
     )
     own = frames.groupBy(*keys).agg(F.first("audio_text").alias("audio_text"), F.first("mid").alias("mid"))
@@ -95,4 +102,4 @@ def best_frame(frames: DataFrame, language: str = MULTI) -> DataFrame:
     r = r.withColumn("merge", merge & F.col("b").isNotNull())
     out = F.when(F.col("b").isNull(), "").when(F.col("merge"), strip(F.col("merged"))).otherwise(chosen)
     status = F.when(F.col("b").isNull(), "no_frame").when(F.col("merge") & (F.size("all") > 1), "merged").when(out != "", "ok").otherwise("empty")
-    return r.select(*keys, F.round(F.coalesce("b.ts", "mid"), 3).alias("timestamp"), out.alias("subtitle_text"), F.col("b.confidence").alias("confidence"), status.alias("status"))
+    return r.select(*keys, F.round(F.coalesce("b.ts", "mid"), 3).alias("timestamp"), out.alias("subtitle_text"), F.col("b.confidence").alias("confidence"), status.alias("status"), *(F.col(f"b.{c}").alias(c) for c in told))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import image
 from ..functions.languages import MULTI
 from ..operators import compare as C
 from ..operators import ocr_select, segments
@@ -41,17 +42,34 @@ def attempt(media: DataFrame, make: Callable) -> tuple[DataFrame, DataFrame]:
     return segments.filter_noise(segments.build(raw.where("error is null"))), raw.where("error is not null").select("media_id", "error")
 
 
-def screen(speech_rows: DataFrame, make: Callable, effort: str = "balanced", language: str = MULTI, window: float = 0.35, samples: int = 3) -> DataFrame:
-    """media_id, id, timestamp, subtitle_text, confidence, status for every speech segment."""
+def screen(speech_rows: DataFrame, make: Callable, effort: str = "balanced", language: str = MULTI, window: float = 0.35, samples: int = 3, source: Callable | None = None, ratio: float = 0.15, dynamic: bool = True) -> DataFrame:
+    """media_id, id, timestamp, subtitle_text, confidence, status, crop_region, ocr_variant for every speech segment.
+
+    ``source`` makes a source of frames; without one the reader fetches its own
+    and has no crop_region. Frames on which nothing can be read are looked at
+    again in a wider band.
+    """
     times = segments.sample_times(F.col("start"), F.col("end"), F.col("midpoint"), window, samples)
     frames = speech_rows.select("media_id", "id", F.col("midpoint").alias("mid"), F.col("text").alias("audio_text"), F.posexplode(times).alias("frame", "ts"))
-    grid = F.broadcast(ocr_select.effort_grid(speech_rows.sparkSession, effort))  # a dozen rows
-    words = adapters.read_screen(frames.select("media_id", "id", "frame", "ts").join(grid), make)
-    keys = ["media_id", "id", "frame"]
-    read = ocr_select.filter_words(words, *keys, "variant", "psm", "ordinal")
-    best = ocr_select.best_variant(read, *keys, language=language)
-    f = frames.join(best, keys, "left").withColumn("sharpness", F.lit(0.0)).withColumn("readable", F.lit(True))
-    return ocr_select.best_frame(f, language)
+    keys, grid = ["media_id", "id", "frame"], ocr_select.tries(effort)
+
+    def read(looked: DataFrame, ratio: float) -> DataFrame:
+        seen = kept(adapters.read_screen(looked, make, grid, source, ratio, dynamic))  # the engines run once
+        words = seen.select(*keys, F.explode("words").alias("w")).select(*keys, "w.*")
+        best = ocr_select.best_variant(ocr_select.filter_words(words, *keys, "variant", "psm", "ordinal"), *keys, language=language)
+        return seen.drop("words").join(best, keys, "left")
+
+    got = read(frames, ratio)
+    wider = image.retry_ratio(ratio)
+    if source and wider:
+        got = kept(got)
+        second = read(got.where("readable and text is null").select(*keys, "ts"), wider).where("text is not null")
+        parts = ("text", "confidence", "ocr_variant", "crop_region")
+        again = second.select(*keys, F.struct(*parts).alias("again"))
+        new = {c: F.when(F.col("again").isNotNull(), F.col(f"again.{c}")).otherwise(F.col(c)) for c in parts}
+        got = got.join(again, keys, "left").withColumns(new).drop("again")
+    f = frames.join(got.drop("ts"), keys, "left")
+    return ocr_select.best_frame(f.withColumn("readable", F.coalesce("readable", F.lit(False))), language)
 
 
 def run(media: DataFrame, recogniser: Callable, reader: Callable, p: CompareParams = CompareParams(), **look) -> tuple[DataFrame, DataFrame]:
