@@ -198,6 +198,42 @@ def test_lm_is_a_distribution_and_learns():
     assert gru_lm.score_documents(w, vocab, [(*doc, np.zeros(400))])[0] > before + 20
 
 
+def test_lm_kernels_spare_calls_and_strides(monkeypatch):
+    """All classes' exponentials are two calls, and states and gradients lie with the streams innermost; either was not so and cost CPU time."""
+    vocab, w, docs_ = small_model(4)
+    at, fresh = gru_lm.laid_out([d[0] for d in docs_], 4)
+    at, fresh = at[:16], fresh[:16]
+    inputs, classes = (np.concatenate([d[k] for d in docs_]) for k in (0, 1))
+    x, gates = gru_lm.gates_of(w, inputs[at])
+    assert gates == pytest.approx(w["embed"][inputs[at]] @ w["wx"] + w["b"])
+    states, _, saved = gru_lm.forward(w, gates, fresh, np.zeros((4, gru_lm.HIDDEN)), True)
+    calls, exp = [], np.exp
+    monkeypatch.setattr(gru_lm.np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+    _, dx = gru_lm.gradients(w, vocab, x, inputs[at], classes[at], at >= 0, fresh, states, saved)
+    assert len(calls) == 2 and len(set(classes[at][classes[at] < vocab.heads].tolist())) > 2
+    assert all(a.transpose(0, 2, 1).flags.c_contiguous for a in (gates, states, dx))
+
+
+def test_lm_looks_words_up_at_once():
+    import xxhash
+
+    words = [b"w%d" % i for i in range(85)] + [b"", "\u00e9".encode()]
+    assert gru_lm.names_of(words).tolist() == [xxhash.xxh3_64_intdigest(x) - 2**63 for x in words] and len(gru_lm.names_of([])) == 0
+    vocab = small_model()[0]
+    found, counts = vocab.find(words), np.array([*vocab.counts, 2, 1, 0, 0, 7, 0, 0.0])
+    rows, classes, shares = vocab.places(found, counts)
+    for k, c in enumerate(counts):
+        if k < 80:
+            want = (vocab.input_of[k], vocab.class_of[k], vocab.share[k])
+        else:
+            want = (vocab.inputs - 1, vocab.rare, math.log((1 - vocab.new) * c / vocab.rare_mass if c else vocab.new))
+        assert (rows[k], classes[k], shares[k]) == pytest.approx(want)
+    r = np.random.default_rng(6)
+    for n in (0, 5, 384, 1000):
+        a, b = r.standard_normal((n, 3)), r.standard_normal((n, 4))
+        assert gru_lm.product(a, b) == pytest.approx(a.T @ b)
+
+
 def test_scores_do_not_depend_on_the_layout():
     import numpy as np
 

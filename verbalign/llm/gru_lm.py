@@ -28,7 +28,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,7 @@ from .hyperdim import held_out
 HEAD, CLASSES, HIDDEN, EMBED = 2048, 40, 24, 16
 LISTED, SURE = 60_000, 3  # words whose class is known everywhere: a bounded list
 STEPS, STREAMS, PASSES, RATE = 16, 384, 1, 0.15
+WINDOW = 8192  # words scored at once, about
 BUCKET_CHARS = 16_000_000
 END = b""  # the end's name: no word is empty
 HELD_MODULUS, HELD_REMAINDER = 7, 2
@@ -51,11 +53,14 @@ PARAMETERS = ["embed", "wx", "wh", "b", "wc", "bc", "wo", "bo"]
 
 def words_in(text: str) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased, and the end."""
-    return [*text.encode("utf-8", "replace").lower().split(), END]
+    words = text.encode("utf-8", "replace").lower().split()
+    words.append(END)
+    return words
 
 
-def name_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - 2**63
+def names_of(words: Collection[bytes]) -> np.ndarray:
+    """64-bit digests, signed: each less 2**63."""
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 class Numbered(dict):
@@ -66,13 +71,6 @@ class Numbered(dict):
         return n
 
 
-class Known(dict):
-    """Words to numbers; -1 for any other."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class Vocabulary:
     """Classes of words. ``listed``: (word, count) of the LISTED most frequent words seen SURE times at least."""
 
@@ -101,13 +99,19 @@ class Vocabulary:
         # a word is new as often as words were seen once (Good-Turing); of the rare class that is this share
         self.new = min(0.99, (once + 0.5) / (self.rare_mass + 1.0)) if self.rare_mass else 1.0
 
+    def find(self, words: Collection[bytes]) -> np.ndarray:
+        """Places in the list; -1 for any other word."""
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+
+    def places(self, found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Input rows, classes, and outside head classes the natural log shares of the class, of words as ``find`` gives them."""
+        rare = np.log(np.where(counts > 0, (1 - self.new) * counts / max(self.rare_mass, 1.0), self.new), where=found < 0, out=np.zeros(len(found)))
+        return np.r_[self.input_of, self.inputs - 1][found], np.r_[self.class_of, self.rare][found], np.r_[self.share, 0.0][found] + rare
+
     def place(self, word: bytes, count: int) -> tuple[int, int, float]:
-        """Input row, class, and outside head classes the natural log share of the class."""
-        i = self.index.get(word)
-        if i is not None:
-            return int(self.input_of[i]), int(self.class_of[i]), float(self.share[i])
-        share = math.log(self.new) if not count else math.log((1 - self.new) * count / max(self.rare_mass, 1.0))
-        return self.inputs - 1, self.rare, share
+        """The same of one word."""
+        row, kind, share = self.places(self.find([word]), np.array([count], np.float64))
+        return int(row[0]), int(kind[0]), float(share[0])
 
     def start(self, seed: int = 1) -> dict[str, np.ndarray]:
         """Weights that give the unigram model, whatever the state."""
@@ -127,119 +131,166 @@ def soft(x: np.ndarray, into: np.ndarray) -> np.ndarray:
     return np.divide(x, into, out=into)
 
 
+def gates_of(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings of T x S words, T x S x E, and what they put into the gates, T x S x 3H with the streams innermost."""
+    x = w["embed"].take(inputs, 0)
+    gates = np.matmul(w["wx"].T, x.transpose(0, 2, 1))
+    gates += w["b"][:, None]
+    return x, gates.transpose(0, 2, 1)
+
+
 def forward(w: dict[str, np.ndarray], gates: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
     """States before each step's word. ``gates``: T x S x 3H of the words' own input; ``fresh``: T x S, a document begins.
 
     The state at step t comes from the words up to t-1: it predicts word t, then
     takes it in. Gates are (1 + soft) / 2 and candidates soft; these are kept.
+    Arrays lie with the streams innermost, so that each gate's part is one stretch.
     """
     T, S = fresh.shape
     H = h.shape[1]
-    states, begins = np.empty((T, S, H), h.dtype), fresh.any(1)
-    a, c = np.empty((T if keep else 1, S, 2 * H), h.dtype), np.empty((T if keep else 1, S, H), h.dtype)
-    uzr, uc = np.ascontiguousarray(w["wh"][:, : 2 * H]), np.ascontiguousarray(w["wh"][:, 2 * H :])
+    gates, begins, half = gates.transpose(0, 2, 1), fresh.any(1), np.float32(0.5)
+    states, kept = np.empty((T + 1, H, S), h.dtype), T if keep else 1
+    a, c, rh = (np.empty((kept, n, S), h.dtype) for n in (2 * H, H, H))
+    uzr, uc = np.ascontiguousarray(w["wh"][:, : 2 * H].T), np.ascontiguousarray(w["wh"][:, 2 * H :].T) * half
+    zr, new, step, more = (np.empty((n, S), h.dtype) for n in (2 * H, H, H, H))
+    states[0] = h.T
     for t in range(T):
         k = t if keep else 0
+        h, x = states[t], gates[t]
         if begins[t]:
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-        states[t] = h
-        x = gates[t]
-        zr = h @ uzr
-        zr += x[:, : 2 * H]
+            h[:, fresh[t]] = 0
+        np.matmul(uzr, h, out=zr)
+        zr += x[: 2 * H]
         soft(zr, a[k])
-        rh = a[k][:, H:] * h
-        rh += h
-        rh *= np.float32(0.5)
-        new = rh @ uc
-        new += x[:, 2 * H :]
+        np.multiply(a[k, H:], h, out=rh[k])
+        rh[k] += h  # twice the state that the reset gate lets through
+        np.matmul(uc, rh[k], out=new)
+        new += x[2 * H :]
         soft(new, c[k])
-        step = c[k] - h
-        step *= a[k][:, :H] + np.float32(1)
-        step *= np.float32(0.5)
-        h = h + step
-    return states, h, (a, c)
+        np.subtract(c[k], h, out=step)
+        np.multiply(a[k, :H], step, out=more)
+        step += more
+        step *= half
+        np.add(h, step, out=states[t + 1])
+    return states[:T].transpose(0, 2, 1), states[T].T, (a, c, rh)
 
 
 def backward(w: dict[str, np.ndarray], states: np.ndarray, saved, begin: np.ndarray, dstates: np.ndarray, grads: dict) -> np.ndarray:
     """Gradients of the gates' inputs, T x S x 3H; adds those of ``wh``."""
     T, S, H = states.shape
-    (a, c), begins = saved, begin.any(1)
-    dx = np.empty((T, S, 3 * H), states.dtype)
-    half, uzr, uc = np.float32(0.5), np.ascontiguousarray(w["wh"][:, : 2 * H].T), np.ascontiguousarray(w["wh"][:, 2 * H :].T)
-    slope_a, slope_c = (1 - np.abs(a)) ** 2 * half, (1 - np.abs(c)) ** 2
-    z, r = (1 + a[:, :, :H]) * half, (1 + a[:, :, H:]) * half
-    toward, keep = (c - states) * slope_a[:, :, :H], 1 - z
-    slope_c *= z
-    by_r = states * slope_a[:, :, H:]
-    dh = np.zeros((S, H), states.dtype)
+    (a, c, rh), begins, half = saved, begin.any(1), np.float32(0.5)
+    states, dstates = states.transpose(0, 2, 1), np.ascontiguousarray(dstates.transpose(0, 2, 1))
+    dx = np.empty((T, 3 * H, S), states.dtype)
+    uzr, uc = np.ascontiguousarray(w["wh"][:, : 2 * H]), w["wh"][:, 2 * H :] * half
+    slope_a, slope_c, by_z, dh_half, drh, more = (np.empty((n, S), states.dtype) for n in (2 * H, H, H, H, H, H))
+    dh, one = np.zeros((H, S), states.dtype), np.float32(1)
     for t in range(T - 1, -1, -1):
-        d = dx[t]
-        np.multiply(dh, toward[t], out=d[:, :H])
-        np.multiply(dh, slope_c[t], out=d[:, 2 * H :])
-        drh = d[:, 2 * H :] @ uc
-        np.multiply(drh, by_r[t], out=d[:, H : 2 * H])
-        dh *= keep[t]
-        drh *= r[t]
+        dz, dr, dc, h = dx[t, :H], dx[t, H : 2 * H], dx[t, 2 * H :], states[t]
+        for x, slope in ((a[t], slope_a), (c[t], slope_c)):
+            np.abs(x, out=slope)
+            np.subtract(one, slope, out=slope)
+            slope *= slope
+        np.multiply(dh, half, out=dh_half)
+        np.subtract(c[t], h, out=dz)
+        dz *= dh_half
+        dz *= slope_a[:H]
+        np.multiply(dh_half, a[t, :H], out=by_z)
+        by_z += dh_half
+        dh -= by_z
+        np.multiply(by_z, slope_c, out=dc)
+        np.matmul(uc, dc, out=drh)  # half of it, as uc is halved
+        np.multiply(drh, h, out=dr)
+        dr *= slope_a[H:]
         dh += drh
-        dh += d[:, : 2 * H] @ uzr
+        drh *= a[t, H:]
+        dh += drh
+        np.matmul(uzr, dx[t, : 2 * H], out=more)
+        dh += more
         dh += dstates[t]
         if begins[t]:
-            dh[begin[t]] = 0
-    before, flat = states.reshape(-1, H), dx.reshape(-1, 3 * H)
-    grads["wh"][:, : 2 * H] += before.T @ flat[:, : 2 * H]
-    grads["wh"][:, 2 * H :] += (r.reshape(-1, H) * before).T @ flat[:, 2 * H :]
-    return dx
+            dh[:, begin[t]] = 0
+    back = dx.transpose(0, 2, 1)
+    grads["wh"][:, : 2 * H] += np.matmul(states, back[:, :, : 2 * H]).sum(0)
+    grads["wh"][:, 2 * H :] += np.matmul(rh, back[:, :, 2 * H :]).sum(0) * half
+    return back
 
 
 HIGHEST = np.float32(60)  # of a logit, far beyond what weights reach: its exponential is finite
 
 
-def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials and their sums by row."""
-    np.minimum(x, HIGHEST, out=x)
-    e = np.exp(x)
-    return e, e @ np.ones(e.shape[1], np.float32)
+def product(a: np.ndarray, b: np.ndarray, rows: int = 384) -> np.ndarray:
+    """a.T @ b of many rows, some at a time, which is faster for few columns."""
+    cut = len(a) // rows * rows
+    parts = np.matmul(a[:cut].reshape(-1, rows, a.shape[1]).transpose(0, 2, 1), b[:cut].reshape(-1, rows, b.shape[1]))
+    return parts.sum(0) + a[cut:].T @ b[cut:]
 
 
 def outputs(w, vocab: Vocabulary, h: np.ndarray, words: np.ndarray, classes: np.ndarray, grads=None):
-    """Natural log probabilities of words (tail shares left out); with ``grads``, adds gradients and returns the states'."""
+    """Natural log probabilities of words (tail shares left out); with ``grads``, adds gradients and returns the states'.
+
+    The classes' own softmaxes lie one after the other in one array: a class costs
+    its products only. Exponentials stay undivided; states and results are instead.
+    """
+    n, H = h.shape
     order = np.argsort(classes.astype(np.uint16) if vocab.classes < 65536 else classes, kind="stable")  # a class's words side by side
-    h, words, classes = h[order], words[order], classes[order]
-    x = h @ w["wc"] + w["bc"]
-    e, total = softmax(x)
-    at = np.arange(len(h))
-    got = x[at, classes] - np.log(total)
+    h1 = np.empty((n, H + 1), h.dtype)  # with a one for the bias
+    h1[:, :H], h1[:, H] = h.take(order, 0), 1
+    words, classes, at = words[order], classes[order], np.arange(n)
+
+    x = h1 @ np.concatenate([w["wc"], w["bc"][None]])
+    np.minimum(x, HIGHEST, out=x)
+    got = x[at, classes]
+    e = np.exp(x, out=x)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    got -= np.log(total)
     dh = None
     if grads is not None:
-        e /= total[:, None]
-        e[at, classes] -= 1
-        grads["wc"] += h.T @ e
-        grads["bc"] += np.ones(len(h), np.float32) @ e
+        e[at, classes] -= total
+        total = 1 / total
+        g = product(h1 * total[:, None], e)
+        grads["wc"] += g[:H]
+        grads["bc"] += g[H]
         dh = e @ w["wc"].T
+        dh *= total[:, None]
+
     cuts = np.searchsorted(classes, np.arange(vocab.heads + 1))
-    for k in range(vocab.heads):
-        lo, hi = vocab.members[k], vocab.members[k + 1]
-        if hi - lo < 2 or cuts[k] == cuts[k + 1]:
-            continue
-        mine = slice(cuts[k], cuts[k + 1])
-        hk = h[mine]
-        x = hk @ w["wo"][lo:hi].T + w["bo"][lo:hi]
-        e, total = softmax(x)
-        pick, one = words[mine] - lo, at[: len(hk)]
-        got[mine] += x[one, pick] - np.log(total)
+    sizes = np.diff(vocab.members)
+    sizes = np.where(sizes > 1, sizes, 0)  # of one word the share is 1
+    mine = classes[: cuts[-1]]
+    width = sizes[mine]
+    if width.any():
+        ends = np.cumsum(width)
+        logits, wo1, total = np.empty(ends[-1], x.dtype), np.concatenate([w["wo"], w["bo"][:, None]], 1), np.ones(len(mine), x.dtype)
+        parts, done = [], 0
+        for k in np.flatnonzero((np.diff(cuts) > 0) & (sizes > 0)).tolist():
+            rows, of = slice(cuts[k], cuts[k + 1]), slice(vocab.members[k], vocab.members[k + 1])
+            size = int((rows.stop - rows.start) * sizes[k])
+            part = logits[done : done + size].reshape(-1, sizes[k])
+            np.matmul(h1[rows], wo1[of].T, out=part)
+            parts.append((part, rows, of))
+            done += size
+        np.minimum(logits, HIGHEST, out=logits)
+        some = np.flatnonzero(width)
+        pick = (ends - width + words[: len(mine)] - vocab.members[mine])[some]
+        got[some] += logits[pick]
+        e, ones = np.exp(logits, out=logits), np.ones(int(sizes.max()), x.dtype)
+        for part, rows, _ in parts:
+            np.matmul(part, ones[: part.shape[1]], out=total[rows])
+        got[: len(mine)] -= np.log(total)
         if grads is not None:
-            e /= total[:, None]
-            e[one, pick] -= 1
-            grads["wo"][lo:hi] += e.T @ hk
-            grads["bo"][lo:hi] += np.ones(len(hk), np.float32) @ e
-            dh[mine] += e @ w["wo"][lo:hi]
-    out = np.empty_like(got)
-    out[order] = got
-    if dh is not None:
-        back = np.empty_like(dh)
-        back[order] = dh
-        dh = back
-    return out, dh
+            e[pick] -= total[some]
+            total = 1 / total
+            scaled, g, d = h1[: len(mine)] * total[:, None], np.zeros_like(wo1), np.zeros((len(mine), H), x.dtype)
+            for part, rows, of in parts:
+                np.matmul(part.T, scaled[rows], out=g[of])
+                np.matmul(part, w["wo"][of], out=d[rows])
+            grads["wo"] += g[:, :H]
+            grads["bo"] += g[:, H]
+            d *= total[:, None]
+            dh[: len(mine)] += d
+    back = np.empty(n, np.int64)
+    back[order] = at
+    return got.take(back), None if dh is None else dh.take(back, 0)
 
 
 def streams_of(lengths: np.ndarray, streams: int) -> list[list[int]]:
@@ -277,14 +328,16 @@ def score_documents(w, vocab: Vocabulary, docs: list[tuple[np.ndarray, np.ndarra
     lengths = np.array([len(d[0]) for d in docs])
     words, classes, shares = (np.concatenate([d[k] for d in docs]) for k in range(3))
     at, fresh = laid_out([d[0] for d in docs], max(8, min(streams * 2, int(lengths.sum() // 2000))))
-    table = w["embed"] @ w["wx"] + w["b"]
-    logs, h = np.zeros(len(words), np.float64), np.zeros((at.shape[1], w["wh"].shape[0]), np.float32)
-    for t in range(0, len(at), 64):
-        part = at[t : t + 64]
-        states, h, _ = forward(w, table[words[part]], fresh[t : t + 64], h, False)
+    logs, h, t = np.zeros(len(words), np.float64), np.zeros((at.shape[1], w["wh"].shape[0]), w["wh"].dtype), 0
+    while t < len(at):
+        steps = max(16, WINDOW // at.shape[1])  # few streams take more steps at once
+        part = at[t : t + steps]
+        states, h, _ = forward(w, gates_of(w, words[part])[1], fresh[t : t + steps], h, False)
+        t += steps
         on = part >= 0
-        got, _ = outputs(w, vocab, states[on], words[part[on]], classes[part[on]])
-        logs[part[on]] = got
+        places = part[on]
+        flat = states.reshape(-1, states.shape[2])
+        logs[places] = outputs(w, vocab, flat if len(places) == len(flat) else flat[on.ravel()], words[places], classes[places])[0]
         live = on[-1]
         if not live.all():  # streams that have ended leave
             at, fresh, h = at[:, live], fresh[:, live], h[live]
@@ -298,15 +351,12 @@ def gradients(w, vocab: Vocabulary, x, ids, classes, on, begin, states, saved) -
     grads = {k: np.zeros_like(w[k]) for k in PARAMETERS if k != "embed"}
     if on.all():
         dstates = outputs(w, vocab, states.reshape(-1, H), ids.ravel(), classes.ravel(), grads)[1].reshape(states.shape)
-        dx = backward(w, states, saved, begin, dstates, grads)
     else:
-        dstates = np.zeros(states.shape, states.dtype)
+        dstates = np.zeros(states.shape, states.dtype)  # past a stream's end all gradients are 0
         dstates[on] = outputs(w, vocab, states[on], ids[on], classes[on], grads)[1]
-        dx = backward(w, states, saved, begin, dstates, grads)
-        dx[~on] = 0
-    flat = dx.reshape(-1, 3 * H)
-    grads["wx"] += x.reshape(-1, x.shape[2]).T @ flat
-    grads["b"] += flat.sum(0)
+    dx = backward(w, states, saved, begin, dstates, grads)
+    grads["wx"] += np.matmul(x.transpose(0, 2, 1), dx).sum(0)
+    grads["b"] += np.matmul(dx.transpose(0, 2, 1), np.ones(dx.shape[1], dx.dtype)).sum(0)
     return grads, dx
 
 
@@ -314,35 +364,35 @@ def train_documents(w, vocab: Vocabulary, docs: list[tuple[np.ndarray, np.ndarra
     """Truncated backpropagation over the documents with Adagrad steps; changes ``w``; number of words."""
     at, fresh = laid_out([d[0] for d in docs], STREAMS)
     words, classes = (np.concatenate([d[k] for d in docs]) for k in range(2))
-    h, H, seen = np.zeros((at.shape[1], HIDDEN), np.float32), HIDDEN, 0
+    h, seen = np.zeros((at.shape[1], HIDDEN), np.float32), 0
+    for k in w:
+        if k not in moments:
+            moments[k] = np.full_like(w[k], 0.1)
     for t0 in range(0, len(at), STEPS):
         live = at[t0] >= 0
         if not live.all():  # streams that have ended leave
             at, fresh, h = at[:, live], fresh[:, live], h[live]
         part, begin = at[t0 : t0 + STEPS], fresh[t0 : t0 + STEPS]
         on, ids = part >= 0, words[part]
-        x = w["embed"][ids]
-        states, h, saved = forward(w, x @ w["wx"] + w["b"], begin, h, True)
+        x, gates = gates_of(w, ids)
+        states, h, saved = forward(w, gates, begin, h, True)
         grads, dx = gradients(w, vocab, x, ids, classes[part], on, begin, states, saved)
-        flat = dx.reshape(-1, 3 * H)
         n = max(1, int(on.sum()))
         seen += n
-        # a word's rows side by side, so that they add up in one go
-        flat_ids = ids.ravel()
-        order = np.argsort(flat_ids.astype(np.uint16) if vocab.inputs < 65536 else flat_ids, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(flat_ids[order]) != 0])
-        rows = flat_ids[order][first]
-        e = np.add.reduceat((flat @ w["wx"].T)[order], first, 0)
         scale = np.float32(1 / math.sqrt(n))
-        for k, g in grads.items():
-            g = np.clip(g * scale, -5, 5)
-            m = moments.setdefault(k, np.full_like(w[k], 0.1))
-            m += g * g
-            w[k] -= rate * g / np.sqrt(m)
-        e *= scale
-        m = moments.setdefault("embed", np.full_like(w["embed"], 0.1))
-        m[rows] += e * e
-        w["embed"][rows] -= rate * e / np.sqrt(m[rows])
+        # by word, a column of the embedding at a time
+        rows, e = ids.ravel().astype(np.int64), np.matmul(w["wx"], dx.transpose(0, 2, 1)).transpose(1, 0, 2).astype(np.float64, order="C")
+        e = np.stack([np.bincount(rows, column, vocab.inputs) for column in e.reshape(len(e), -1)], 1).astype(np.float32)
+        for k, g in (*grads.items(), ("embed", e)):
+            g *= scale
+            if k != "embed":
+                np.clip(g, -5, 5, out=g)
+            m, step = moments[k], g * g
+            m += step
+            np.sqrt(m, out=step)
+            np.divide(g, step, out=step)
+            step *= np.float32(rate)
+            w[k] -= step
     return seen
 
 
@@ -353,7 +403,7 @@ def counted(rows: DataFrame) -> DataFrame:
         counter: Counter = Counter()
 
         def flush() -> pd.DataFrame:
-            f = pd.DataFrame({"word": np.fromiter(map(name_of, counter), np.int64, len(counter)), "token": list(counter), "n": list(counter.values())})
+            f = pd.DataFrame({"word": names_of(counter), "token": list(counter), "n": list(counter.values())})
             counter.clear()
             return f
 
@@ -400,11 +450,10 @@ def train(rows: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
 
         def run(batches: Iterator[pd.DataFrame], w=w, round_=round_) -> Iterator[pd.DataFrame]:
             own, moments, seen, part, size = {k: v.copy() for k, v in w.items()}, {}, 0, [], 0
-            inputs, classes, find = np.r_[vocab.input_of, vocab.inputs - 1].astype(np.int32), np.r_[vocab.class_of, vocab.rare].astype(np.int32), Known(vocab.index).__getitem__
+            inputs, classes = np.r_[vocab.input_of, vocab.inputs - 1].astype(np.int32), np.r_[vocab.class_of, vocab.rare].astype(np.int32)
             for b in batches:
                 for t in b.text:
-                    words = words_in(t)
-                    k = np.fromiter(map(find, words), np.int32, len(words))  # -1: the rare class, the last of both
+                    k = vocab.find(words_in(t))  # -1: the rare class, the last of both
                     part.append((inputs[k], classes[k]))
                     size += len(k)
                     if size > 1_500_000:  # so many that a long document leaves no streams idle
@@ -445,7 +494,7 @@ def score_corpus(docs: DataFrame) -> DataFrame:
         def flush() -> Iterator[pd.DataFrame]:
             for k, s in seen.items():
                 rest = [x for x in s if x not in vocab.index]
-                yield pd.DataFrame({"bucket": k, "word": np.fromiter(map(name_of, rest), np.int64, len(rest))})
+                yield pd.DataFrame({"bucket": k, "word": names_of(rest)})
             seen.clear()
 
         for b in batches:
@@ -464,26 +513,26 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     known = needed.join(counts.select("word", "n"), "word").select("bucket", "word", "n")
 
     def score(key, texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        frame = texts[["id", "no_id", "held_out"]].copy()
         count = dict(zip(counts.word.tolist(), counts.n.tolist()))
         n, v = vocab.total, vocab.types
-        unseen = math.log10(1 / (n + v + 1))
         index, tokens = Numbered(), []
         for text in texts.text:
             words = words_in(text)
             tokens.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-        # by distinct word of the bucket: input, class, share, known, base
-        facts = np.empty((len(index), 5))
-        for k, x in enumerate(index):
-            i = vocab.index.get(x)
-            c = int(vocab.counts[i]) if i is not None else count.get(name_of(x), 0)
-            facts[k] = (*vocab.place(x, c), c > 0, math.log10((c + 1) / (n + v + 1)) if c else unseen)
-        inputs, classes, shares = facts[:, 0].astype(np.int32), facts[:, 1].astype(np.int32), facts[:, 2].astype(np.float32)
-        out = [(held, len(t), int(facts[t, 3].sum()), n, float(facts[t, 4].sum())) for held, t in zip(texts.held_out, tokens)]
-        placed = [(inputs[t], classes[t], shares[t]) for t in tokens]
-        frame = pd.DataFrame(out, columns=["held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
-        frame.insert(0, "id", texts.id.to_numpy())
-        frame.insert(1, "no_id", texts.no_id.to_numpy())
-        frame["score"] = score_documents(w, vocab, placed)
+        # by distinct word of the bucket: place in the list, count; from these input, class, share, base
+        distinct = list(index)
+        found = vocab.find(distinct)
+        others = np.flatnonzero(found < 0)
+        c = np.r_[vocab.counts, 0.0][found]
+        c[others] = np.fromiter(map(count.get, names_of([distinct[k] for k in others.tolist()]).tolist(), repeat(0)), np.float64, len(others))
+        inputs, classes, shares = (x.astype(t) for x, t in zip(vocab.places(found, c), (np.int32, np.int32, np.float32)))
+        known, base = c > 0, np.log10((c + 1) / (n + v + 1))
+        frame["n_tokens"] = [len(t) for t in tokens]
+        frame["n_known"] = [int(np.count_nonzero(known.take(t))) for t in tokens]
+        frame["train_tokens"] = n
+        frame["base_score"] = [float(base.take(t).sum()) for t in tokens]
+        frame["score"] = score_documents(w, vocab, [(inputs.take(t), classes.take(t), shares.take(t)) for t in tokens])
         return frame
 
     schema = "id long, no_id boolean, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
