@@ -328,18 +328,20 @@ def score_documents(w, vocab: Vocabulary, docs: list[tuple[np.ndarray, np.ndarra
     lengths = np.array([len(d[0]) for d in docs])
     words, classes, shares = (np.concatenate([d[k] for d in docs]) for k in range(3))
     at, fresh = laid_out([d[0] for d in docs], max(8, min(streams * 2, int(lengths.sum() // 2000))))
-    logs, h, t = np.zeros(len(words), np.float64), np.zeros((at.shape[1], w["wh"].shape[0]), w["wh"].dtype), 0
-    while t < len(at):
+    table = np.ascontiguousarray((w["embed"] @ w["wx"] + w["b"]).T)  # of every input word, what it puts into the gates
+    logs, h = np.zeros(len(words), np.float64), np.zeros((at.shape[1], w["wh"].shape[0]), w["wh"].dtype)
+    while len(at):
         steps = max(16, WINDOW // at.shape[1])  # few streams take more steps at once
-        part = at[t : t + steps]
-        states, h, _ = forward(w, gates_of(w, words[part])[1], fresh[t : t + steps], h, False)
-        t += steps
+        part = at[:steps]
+        gates = np.empty((len(part), len(table), part.shape[1]), table.dtype)
+        for ids, into in zip(words[part], gates):
+            np.take(table, ids, 1, into, "clip")
+        states, h, _ = forward(w, gates.transpose(0, 2, 1), fresh[:steps], h, False)
         on = part >= 0
-        places = part[on]
-        flat = states.reshape(-1, states.shape[2])
+        places, flat = part[on], states.reshape(-1, states.shape[2])
         logs[places] = outputs(w, vocab, flat if len(places) == len(flat) else flat[on.ravel()], words[places], classes[places])[0]
-        live = on[-1]
-        if not live.all():  # streams that have ended leave
+        live, at, fresh = on[-1], at[steps:], fresh[steps:]
+        if live.sum() < 0.8 * len(live):  # streams that have ended leave, many at once
             at, fresh, h = at[:, live], fresh[:, live], h[live]
     logs += shares
     return np.minimum(np.add.reduceat(logs, np.cumsum(lengths) - lengths) / LN10, 0.0)
