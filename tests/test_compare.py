@@ -124,3 +124,24 @@ def test_plan_scores_each_pair_once(spark):
     plan = C.compare(a, s)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert F is not None
+
+
+def test_segments_are_judged_in_one_pass(spark):
+    """Scoring aligned pairs and candidates apart took the aligned rows, and their texts, through the plan several times."""
+    a, s = frames(spark, [(1, 0.0, 2.0, "x y")], [(1, 1.0, "x z")])
+    plan = C.compare(a, s)._jdf.queryExecution().executedPlan().toString()
+    kernels = sum(plan.count(k) for k in ("MapInArrow", "ArrowEvalPython"))
+    assert plan.count("MapInArrow") == 1 and kernels <= 5
+
+
+def test_segments_cut_by_batches(spark):
+    said = [(k, 4.0 * k, 4.0 * k + 3, f"word{k} and another{k % 3} thing{k}") for k in range(9)]
+    shown = [(k + 1, 4.0 * k + 1, f"another{k % 3} thing{k} word{k}") for k in range(9)] + [(40, 9.0, "word2 and another2"), (41, 10.0, "thing2")]
+    want = results(spark, said, shown)
+    assert {r.metrics.match_source for r in want} >= {"aligned", "nearby_2x"}
+    for size in (1, 2, 3):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert results(spark, said, shown) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

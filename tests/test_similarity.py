@@ -85,3 +85,35 @@ def test_window_search_is_exact(a, b):
 
 def test_other_profile():
     assert S.base(["abcd"], ["bcde"], "difflib")[0][0] == 0.75
+
+
+def test_best_of_many_texts_is_the_best_pair():
+    import random
+
+    import numpy as np
+
+    r = random.Random(5)
+    for _ in range(40):
+        a = [" ".join(r.choices("ab cd ef gh a".split(), k=r.randint(1, 6))) for _ in range(4)]
+        owner = np.sort([r.randrange(4) for _ in range(12)])
+        texts = [" ".join(r.choices("ab cd ef gx a b".split(), k=r.randint(0, 11))) for _ in owner]
+        floor = np.array([r.choice([0, 0.5, 0.8]) for _ in a])
+        want, least = {}, floor.copy()
+        for k, row in enumerate(S.breakdown([a[i] for i in owner], texts)):
+            if row[5] > least[owner[k]]:
+                least[owner[k]], want[int(owner[k])] = row[5], k
+        assert S.best_texts(a, owner, texts, floor) == want
+
+
+def test_few_runs_are_measured_in_full(monkeypatch):
+    """Pair by pair, every candidate had its base scores and the windows that might beat them."""
+    import numpy as np
+
+    a, measured = "one two three four five", []
+    real = S.partial
+    monkeypatch.setattr(S, "partial", lambda x, y: measured.append(len(x)) or real(x, y))
+    other = [f"six seven{k} eight nine ten eleven twelve{k} other words here" for k in range(20)]
+    assert S.best_texts([a], np.zeros(22, int), [*other[:10], a, *other[10:], a], np.array([0.3])) == {0: 10}
+    assert sum(measured) == 0
+    assert S.best_texts([a], np.zeros(21, int), [*other, "one two three five"], np.array([0.3])) == {0: 20}
+    assert sum(measured) <= 5
