@@ -87,3 +87,32 @@ def test_bounds_and_grid(spark):
         O.effort_grid(spark, "slow")
     with pytest.raises(ValueError):
         O.fixed_bounds(F.col("h"), F.col("w"), 0.0)
+
+
+def test_captions_are_counted_before_they_are_cut(spark):
+    from verbalign.plans import fixtures as X
+
+    long_ = " ".join(f"w{k}" for k in range(1500))
+    rows = [(1, 0, long_), (1, 1, "a  b\tc d e f"), (1, 2, " "), (1, 3, "g"), (2, 5, long_), (None, 0, "x y"), (3, 0, None)]
+    turns = lambda rows: spark.createDataFrame(rows, "k long, turn long, text string")
+    want = lambda d: X.captions_in_turn(d.selectExpr("k as media", "turn as part", "text"))
+    d = turns(rows)
+    c = X.captions(d, "k", "turn")
+    assert sorted(c.collect(), key=str) == sorted(want(d).collect(), key=str) and c.count() == 300 + 2 + 1 + 300 + 1
+    # rows of one key and turn alternate; other keys are not touched
+    both = turns([*rows, (2, 5, "h i j k l m")])
+    assert sorted((r.media or 0, r.seq, r.ms) for r in X.captions(both, "k", "turn").collect() if r.media != 2) == sorted((r.media or 0, r.seq, r.ms) for r in c.collect() if r.media != 2)
+    assert sorted(r.seq for r in X.captions(both, "k", "turn").where("media = 2").collect()) == list(range(1, 303))
+
+
+def test_readings_of_a_caption_stay_together(spark):
+    """Cut and grouped again, each word was a row to be shuffled, sorted and spilled."""
+    from verbalign.plans import catalogue as K
+    from verbalign.plans import fixtures as X
+
+    d = X.captions(spark.createDataFrame([(1, "one two three four five six"), (2, "seven")], "doc_id long, text string"), "doc_id")
+    made = K.readings(d)
+    for out in (O.best_variant(made, "media", "seq"),):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    apart = made.select("media", "seq", F.inline("readings"))
+    assert sorted(O.best_variant(made, "media", "seq").collect()) == sorted(O.best_variant(apart, "media", "seq").collect())

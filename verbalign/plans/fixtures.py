@@ -7,19 +7,69 @@ the speech side with ten kinds of deviation by (media + seq) % 10.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 WORDS = 5
+BLOCK = 64  # captions
 MS = 60  # milliseconds a character
 
 
+def prefixes(sizes: Column) -> Column:
+    """Of each number the sum of those before it. Copies the sums for each number, so it is for short arrays."""
+    none = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("before"))
+    return F.aggregate(sizes, none, lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.array_append(acc["before"], acc["sum"]).alias("before")))["before"]
+
+
 def captions(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """media (long), seq, text, ms (start) and len_ms of the captions of (key, text)."""
+    """media (long), seq, text, ms (start) and len_ms of the captions of (key, text).
+
+    Numbers and times are counted within each row and, with an order, over the rows
+    of a key before they are cut, so captions needn't be sorted. Rows that share key
+    and order alternate caption by caption; for their keys captions are sorted.
+    """
+    rows = rows.select(F.col(key).alias("media"), (F.col(order) if order else F.lit(0).cast("long")).alias("part"), "text")
+    again = rows.groupBy("media", "part").count().where("count > 1").select("media").distinct()
+    if again.isEmpty():
+        return captions_in_rows(rows, order is not None)
+    both = F.expr("media <=> key")
+    again = again.withColumnRenamed("media", "key")
+    return captions_in_rows(rows.join(again, both, "left_anti"), order is not None).unionByName(captions_in_turn(rows.join(again, both, "left_semi")))
+
+
+def words_of(rows: DataFrame) -> DataFrame:
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("w") / WORDS).cast("int") - 1)), lambda k: F.array_join(F.slice(F.col("w"), k * WORDS + 1, F.lit(WORDS)), " "))
-    part = rows.select(F.col(key).alias("media"), (F.col(order) if order else F.lit(0).cast("long")).alias("part"), words.alias("w")).where(F.size("w") > 0)
-    c = part.select("media", "part", F.posexplode(cut).alias("pos", "text"))
+    return rows.select("media", "part", once(words).alias("w")).where(F.size("w") > 0)
+
+
+def cut(words: Column, size: int) -> Column:
+    """An array's slices of ``size`` items."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(words) / size).cast("int") - 1)), lambda k: F.slice(words, k * size + 1, F.lit(size)))
+
+
+def captions_in_rows(rows: DataFrame, ordered: bool) -> DataFrame:
+    blocks = F.transform(cut(F.col("w"), WORDS * BLOCK), lambda ws: F.transform(cut(ws, WORDS), lambda c: F.array_join(c, " ")))
+    c = words_of(rows).select("media", "part", once(blocks).alias("blocks"))
+    chars = F.transform("blocks", lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, t: n + F.length(t)))
+    c = c.withColumn("chars", once(chars))
+    if ordered:
+        w = Window.partitionBy("media").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        own = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.size(b)), F.aggregate("chars", F.lit(0).cast("long"), lambda n, x: n + x)
+        c = c.withColumn("n", own[0]).withColumn("all", own[1])
+        c = c.withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("past", F.coalesce(F.sum("all").over(w), F.lit(0)))
+    else:
+        c = c.withColumn("first", F.lit(0).cast("long")).withColumn("past", F.lit(0).cast("long"))
+    c = c.select("media", "first", "past", F.posexplode(F.arrays_zip(F.col("blocks").alias("texts"), prefixes(F.col("chars")).alias("before"))).alias("block", "b"))
+    c = c.select("media", (F.col("first") + F.col("block") * BLOCK).alias("first"), (F.col("past") + F.col("b.before")).alias("past"), F.col("b.texts").alias("texts"))
+    c = c.select("media", "first", "past", F.posexplode(F.arrays_zip("texts", prefixes(F.transform("texts", lambda t: F.length(t).cast("long"))).alias("before"))).alias("pos", "t"))
+    return c.select("media", (F.col("first") + F.col("pos") + 1).alias("seq"), F.col("t.texts").alias("text"), ((F.col("past") + F.col("t.before")) * MS).alias("ms"), (F.length("t.texts") * MS).cast("long").alias("len_ms"))
+
+
+def captions_in_turn(rows: DataFrame) -> DataFrame:
+    texts = F.transform(cut(F.col("w"), WORDS), lambda c: F.array_join(c, " "))
+    c = words_of(rows).select("media", "part", F.posexplode(texts).alias("pos", "text"))
     w = Window.partitionBy("media").orderBy("part", "pos")
     c = c.select("media", F.row_number().over(w).cast("long").alias("seq"), "text", F.length("text").alias("n"), "part", "pos")
     before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
